@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from refmill.llm.copies import collapse, copies, copy_counts
 from refmill.llm.lookalike import lookalike_groups, skeletons, with_standins
+from refmill.llm.overlap import cross_split_pairs, overlap_report
 from refmill.llm.tokens import encode_texts
 from refmill.session import table
 
@@ -22,9 +24,34 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_groups(_looks(spark, sf_dir))
 
 
+def _collapsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return collapse(
+        {
+            "benchmark_records": (table(spark, sf_dir, "benchmark_records"), "row_id", "citation"),
+            "citations": (table(spark, sf_dir, "citations"), "citation_id", "raw"),
+        }
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(*_collapsed(spark, sf_dir))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_counts(_collapsed(spark, sf_dir)[1])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split_pairs(table(spark, sf_dir, "benchmark_records"), "row_id", "citation", "benchmark_split")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(table(spark, sf_dir, "benchmark_records"), p7_found(spark, sf_dir), "row_id", "benchmark_split", ["source", "mutation_type"])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p8_ids": p8_ids}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}

@@ -18,7 +18,7 @@ LOOKALIKES = dict(
 #: Punctuation written in several ways, and the plain way.
 PUNCTUATION = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-", "…": "..."}
 #: Line ends other than the usual.
-_LINE_ENDS = "\x85  "
+_LINE_ENDS = "\x85\u2028\u2029"
 #: Compatibility forms that do not look like their plain form.
 _OTHER_LOOK = ("<super>", "<sub>", "<fraction>", "<noBreak>", "<square>", "<circle>")
 _ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]\w{1,30});")
@@ -31,7 +31,7 @@ def is_unseen(ch: str) -> bool:
     kind = unicodedata.category(ch)
     if kind == "Cc":
         return ch not in "\t\n\v\f\r\x85"
-    return kind == "Cf" or ch in "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ" or "︀" <= ch <= "️"
+    return kind == "Cf" or ch in "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0" or "\ufe00" <= ch <= "\ufe0f"
 
 
 @lru_cache(maxsize=None)
@@ -39,11 +39,11 @@ def script(ch: str) -> str:
     """latin, cyrillic, greek, other for a letter; "" for what isn't one."""
     if not ch.isalpha():
         return ""
-    if ch < "ɐ" or "Ḁ" <= ch <= "ỿ":
+    if ch < "\u0250" or "\u1e00" <= ch <= "\u1eff":
         return "latin"
-    if "Ͱ" <= ch <= "Ͽ" or "ἀ" <= ch <= "῿":
+    if "\u0370" <= ch <= "\u03ff" or "\u1f00" <= ch <= "\u1fff":
         return "greek"
-    if "Ѐ" <= ch <= "ԯ":
+    if "\u0400" <= ch <= "\u052f":
         return "cyrillic"
     return "other"
 
@@ -124,7 +124,7 @@ def standins(text: str) -> list[int]:
 
 def unescape(text: str) -> str:
     """text with HTML entities resolved, also those written twice over or in full-width characters."""
-    if "＆" in text:
+    if "\uff06" in text:
         text = re.sub(r"＆[^\s＆&]{1,12}[;；]", lambda m: unicodedata.normalize("NFKC", m.group()), text)
     for _ in range(3):
         if "&" not in text or not _ENTITY.search(text):
