@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from refmill.llm.copies import atoms
 from refmill.llm.graph import components
+from refmill.llm.text import plain, unescape
 from refmill.session import cut
 
 #: Characters of a suffix that are sorted, the shortest common prefix that counts as a shared span, and the
@@ -18,10 +20,17 @@ from refmill.session import cut
 SUFFIX, SPAN, STRETCH = 64, 20, 12
 #: Characters of the runs by which coverage of one text by another is measured.
 RUN = 6
-#: Two texts hold one reference if each is covered to this share, and not both have an uncovered stretch as long as a title.
-COVERED, TITLE = 0.5, 24
-#: The same for a title replaced by a much shorter one, as in another script.
-LONG_TITLE, SHORT_TITLE, COVERED_WELL = 45, 10, 0.7
+#: Two texts hold one reference if each is covered to this share, and not both lack a stretch of so many letters of
+#: the other: a title replaced by another, or by a much shorter one, as in another script.
+COVERED, TITLE, LONG_TITLE, SHORT_TITLE = 0.7, 16, 25, 10
+_IDENTIFIER = re.compile(r"https?://\S+|\bdoi\b[:.\s]*10\S+|\b10\.\d{4,9}/\S+|\b10\d{5,}\S+|\b10\.\d{4,9}\S*")
+
+
+def core(text: str) -> str:
+    """Letters and digits of a reference without its identifiers, which may be changed or left out; all of them where nothing else is left."""
+    t = plain(unescape(text))
+    rest = "".join(ch for ch in _IDENTIFIER.sub(" ", t) if ch.isalnum())
+    return rest if len(rest) >= SPAN else "".join(ch for ch in t if ch.isalnum())
 
 
 def _cover(a: str, runs: set[str]) -> tuple[float, int]:
@@ -31,11 +40,16 @@ def _cover(a: str, runs: set[str]) -> tuple[float, int]:
     for i in range(n - RUN + 1):
         if a[i : i + RUN] in runs:
             marks[i : i + RUN] = one
-    return sum(marks) / n, max(map(len, marks.split(b"\1")))
+    longest = at = 0
+    for stretch in marks.split(b"\1"):
+        if len(stretch) > longest:
+            longest = max(longest, sum(ch.isalpha() for ch in a[at : at + len(stretch)]))
+        at += len(stretch) + 1
+    return sum(marks) / n, longest
 
 
 def coverage(a: str, b: str) -> tuple[float, float, int, int]:
-    """(share of a that b covers, share of b, longest stretch of a that b lacks, of b), shared spans merged; fields may stand in any order."""
+    """(share of a that b covers, share of b, letters of the longest stretch of a that b lacks, of b), shared spans merged; fields may stand in any order."""
     if a == b:
         return 1.0, 1.0, 0, 0
     if min(len(a), len(b)) < RUN:
@@ -46,12 +60,10 @@ def coverage(a: str, b: str) -> tuple[float, float, int, int]:
 
 
 def same_reference(a: str, b: str) -> bool:
-    """Whether two streams of letters and digits hold one reference but for form and small changes."""
+    """Whether the cores of two texts hold one reference but for form and small changes."""
     ca, cb, ra, rb = coverage(a, b)
-    least, short, long = min(ca, cb), min(ra, rb), max(ra, rb)
-    if least < COVERED or short >= TITLE:
-        return False
-    return not (long >= LONG_TITLE and short >= SHORT_TITLE and least < COVERED_WELL)
+    short, long = min(ra, rb), max(ra, rb)
+    return min(ca, cb) >= COVERED and short < TITLE and not (long >= LONG_TITLE and short >= SHORT_TITLE)
 
 
 def suffix_starts(edge: bytearray, n: int) -> list[int]:
@@ -65,7 +77,7 @@ def suffix_starts(edge: bytearray, n: int) -> list[int]:
 
 
 def _texts(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
-    """(row_id, train, form, t) of the rows with a split and a text with a letter or digit; t is their stream."""
+    """(row_id, train, form, t, core, starts) of the rows with a split and a text with a letter or digit; t is their stream."""
     name = F.lower(F.trim(F.col(split)))
     rows = df.select(F.col(key).cast("bigint").alias("row_id"), (name == "train").alias("train"), F.col(text).alias("t")).where(
         name.isin("train", "dev", "test", "holdout") & F.col("t").isNotNull()
@@ -73,8 +85,10 @@ def _texts(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [atoms(t) for t in batch.column(2).to_pylist()]
+            raw = batch.column(2).to_pylist()
+            parsed = [atoms(t) for t in raw]
             keep = pa.array([i for i, x in enumerate(parsed) if x[0]], pa.int32())
+            cores = [core(t) for t, x in zip(raw, parsed) if x[0]]
             parsed = [x for x in parsed if x[0]]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -82,12 +96,13 @@ def _texts(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
                     batch.column(1).take(keep),
                     pa.array([xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s, _, _ in parsed], pa.binary()),
                     pa.array([s for s, _, _ in parsed], pa.string()),
+                    pa.array(cores, pa.string()),
                     pa.array([suffix_starts(e, len(s)) for s, e, _ in parsed], pa.list_(pa.int32())),
                 ],
-                names=["row_id", "train", "form", "t", "starts"],
+                names=["row_id", "train", "form", "t", "core", "starts"],
             )
 
-    return rows.mapInArrow(run, "row_id bigint, train boolean, form binary, t string, starts array<int>")
+    return rows.mapInArrow(run, "row_id bigint, train boolean, form binary, t string, core string, starts array<int>")
 
 
 def neighbours(texts: DataFrame) -> DataFrame:
@@ -147,7 +162,7 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str) -> DataFra
     another split, as the result lists those pairs. Equal rows each give their own pairs; other columns play no part.
     """
     rows = cut(_texts(df, key, text, split))
-    texts = rows.groupBy("form").agg(F.min("row_id").alias("tid"), F.min("t").alias("t"), F.min("starts").alias("starts"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_other"))
+    texts = rows.groupBy("form").agg(F.min("row_id").alias("tid"), F.min("t").alias("t"), F.min("core").alias("core"), F.min("starts").alias("starts"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_other"))
     texts = cut(texts)
 
     @F.pandas_udf("boolean")
@@ -157,7 +172,7 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str) -> DataFra
         return pd.Series([same_reference(x, y) for x, y in zip(left, right)], dtype=bool)
 
     def judged(pairs: DataFrame) -> DataFrame:
-        ta, tb = (texts.select(F.col("tid").alias(x), F.col("t").alias(f"t_{x}")) for x in "ab")
+        ta, tb = (texts.select(F.col("tid").alias(x), F.col("core").alias(f"t_{x}")) for x in "ab")
         return pairs.join(ta, "a").join(tb, "b").where(same("t_a", "t_b")).select("a", "b")
 
     links = cut(judged(neighbours(texts).select("a", "b").distinct()))

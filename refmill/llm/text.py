@@ -133,18 +133,34 @@ def unescape(text: str) -> str:
     return text
 
 
+def _settled(text: str) -> str:
+    """text decomposed, without unseen characters, look-alike letters replaced only where they stand in for others.
+
+    A skeleton replaces look-alikes in words of their own script too, where capital and small letters differ in
+    what they look like; text to be compared without case mustn't.
+    """
+    if any(ch in LOOKALIKES for ch in text):
+        at = set(standins(text))
+        text = "".join(LOOKALIKES.get(ch, ch) if i in at else ch for i, ch in enumerate(text))
+    out = []
+    for ch in unicodedata.normalize("NFKD", text):
+        if not is_unseen(ch):
+            out.append(" " if ch.isspace() else PUNCTUATION.get(ch) or ch)
+    return "".join(out)
+
+
 def plain(text: str) -> str:
-    """Small letters of one form: skeleton with whole accented letters, case folded."""
+    """Small letters of one form, with whole accented letters: what copies are compared by."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", skeleton(text).casefold())
+    return unicodedata.normalize("NFC", _settled(text).casefold())
 
 
 def fold(text: str) -> str:
     """plain without accents."""
     if text.isascii():
         return text.lower()
-    return "".join(ch for ch in skeleton(text).casefold() if not unicodedata.combining(ch))
+    return "".join(ch for ch in _settled(text).casefold() if not unicodedata.combining(ch))
 
 
 def stream(text: str) -> str:
