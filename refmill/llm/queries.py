@@ -8,6 +8,7 @@ from refmill.llm.copies import collapse, copies, copy_counts
 from refmill.llm.lookalike import lookalike_groups, skeletons, with_standins
 from refmill.llm.overlap import cross_split_pairs, overlap_report
 from refmill.llm.tokens import encode_texts
+from refmill.llm.truncation import truncated, truncation_rates
 from refmill.session import table
 
 
@@ -24,6 +25,18 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_groups(_looks(spark, sf_dir))
 
 
+def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated(table(spark, sf_dir, "citations"), "citation_id", "source", ["raw", "title"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cuts(spark, sf_dir).where("reason is not null").selectExpr("id AS citation_id", "field AS field_name")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_rates(_cuts(spark, sf_dir))
+
+
 def _collapsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return collapse(
         {
@@ -53,5 +66,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
