@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +31,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def _shared_file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, so lost executors cost only a read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a table in the shared folder and read again: its lineage ends there, so lost executors cost only a read.
+
+    Parquet keeps the table small and lets later steps read only the columns they need. The folder goes when the
+    process ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/refmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where, fs = _shared_file_system(spark, path)
+    fs.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: int | None = None, app: str = "refmill", **conf: str) -> SparkSession:
