@@ -6,70 +6,91 @@ from pyspark.sql import DataFrame
 
 from refmill.session import cut
 
-#: One row per value: its words with ¦ where a clause ends, digits masked, its last character and length.
-#: Letters stay as they are but small; a run of digits becomes as many 9s, so 547-555 and 101-110 are one pattern.
+#: One row per value: its words in small letters, with ¦ on the side where a clause begins or ends, and digits masked:
+#: a run of digits becomes as many 9s, so that 547-555 and 101-110 are one pattern.
 _VALUES = r"""
-SELECT id, field, source, text, length(text) AS n,
-       regexp_replace(text, '[\\s"”\'’*;]+$', '') AS bare,
-       filter(split(regexp_replace(regexp_replace(regexp_replace(lower(text),
-           '[:.?!/|"“”()\\[\\]{{}}\n\t]+', ' ¦ '), '[^\\p{{L}}\\p{{N}}¦]+', ' '), '\\p{{N}}', '9'), ' +'), w -> w <> '') AS words
+SELECT id, field, source, text, length(text) AS n, array_remove(split(regexp_replace(translate(lower(text), '0123456789', '9999999999'),
+         '[.:?!/|]+(?=\\s|$)|["“”()\\[\\]{{}}\n\t]+', '¦ '), '[^\\p{{L}}\\p{{N}}¦]+'), '') AS c
 FROM {values} WHERE text IS NOT NULL AND trim(text) <> ''
 """
 
-#: Every run of three words with how often it stands inside a clause (a word follows), at the end of one, and last of all.
-#: The start of a text counts as two empty words, so that short texts have trigrams too.
+#: Every word c with the two before it and the one after it. The start of a text counts as two empty words, so that
+#: short texts have trigrams too.
+_SPOTS = r"""
+SELECT translate(a, '¦', '') AS w1, translate(b, '¦', '') AS w2, translate(c, '¦', '') AS w3,
+       NOT (d IS NULL OR endswith(c, '¦') OR startswith(d, '¦')) AS inside, d IS NULL AS last
+FROM (SELECT inline(arrays_zip(a, b, c, d))
+      FROM (SELECT concat(array('', ''), c) AS a, concat(array(''), c) AS b, c, slice(c, 2, size(c)) AS d FROM {words}))
+WHERE c IS NOT NULL AND c <> '¦'
+"""
+
+#: How often a run of three words stands inside a clause (a word follows) and at the end of one; runs are kept as hashes.
 _TRIGRAMS = r"""
-SELECT s.w1, s.w2, s.w3, count_if(s.inside) AS n_inside, count_if(NOT s.inside) AS n_end, count_if(s.last) AS n_last
-FROM (SELECT explode(transform(filter(sequence(2, size(w) - 1), i -> w[i] <> '¦'),
-               i -> struct(w[i - 2] AS w1, w[i - 1] AS w2, w[i] AS w3, coalesce(get(w, i + 1), '¦') <> '¦' AS inside, i = size(w) - 1 AS last))) AS s
-      FROM (SELECT concat(array('', ''), words) AS w FROM {words}) WHERE size(w) > 2)
-GROUP BY s.w1, s.w2, s.w3
+SELECT xxhash64(w1, w2, w3) AS h, count_if(inside) AS t_inside, count_if(NOT inside) AS t_end, count_if(NOT inside AND NOT last) AS t_closed
+FROM {spots} GROUP BY 1
 """
 
-#: The same for pairs, single words, and beginnings of words, after a given word and anywhere.
-_PAIRS = "SELECT w2, w3, sum(n_inside) AS n_inside, sum(n_end) AS n_end, sum(n_last) AS n_last FROM {trigrams} GROUP BY w2, w3"
-_VOCABULARY = "SELECT w3, sum(n_inside) AS n_inside, sum(n_end) AS n_end, sum(n_last) AS n_last FROM {pairs} GROUP BY w3"
-_LONGER = r"""
-SELECT w2, part, sum(n) AS n_longer
-FROM (SELECT w2, n_inside + n_end - n_last AS n, explode(transform(sequence(1, length(w3) - 1), k -> left(w3, k))) AS part
-      FROM {pairs} WHERE n_inside + n_end > n_last AND length(w3) > 1)
-GROUP BY w2, part
+#: The same for two words, with how often they are the very last.
+_PAIRS = "SELECT w2, w3, count_if(inside) AS n_inside, count_if(NOT inside) AS n_end, count_if(last) AS n_last FROM {spots} GROUP BY w2, w3"
+
+#: The last words of each value, and whether the text ends on a word, so that it may go on, or shows a mark of the cut.
+_ENDS = r"""
+SELECT id, field, source, n, translate(element_at(c, -1), '¦', '') AS w3, translate(coalesce(get(c, size(c) - 2), ''), '¦', '') AS w2,
+       translate(coalesce(get(c, size(c) - 3), ''), '¦', '') AS w1,
+       text RLIKE '(\\.\\.\\.|…|\\[(\\.\\.\\.|…)\\]|\\x{{FFFD}})[\\s"”\'’*;]*$' AS marked,
+       text RLIKE '[\\p{{L}},&–-]\\s*$' AS open_end,
+       text RLIKE '[\\p{{L}}\\p{{N}},&–-][\\s*;]*$' AS on_word
+FROM {words} WHERE size(c) > 0
+"""
+
+#: What the last trigram says: complete if it ends a clause before a mark elsewhere, and no more often goes on; going on if
+#: it almost never ends one. Ends of whole texts don't prove it complete: many may be cut at the same place.
+_BY_TRIGRAM = r"""
+SELECT e.id, e.field, e.source, e.n, e.w2, e.w3, e.open_end, endswith(w3, '9') AS on_number, coalesce(t_inside, 0) AS t_inside, coalesce(t_end, 0) AS t_end,
+  on_word AND NOT coalesce(t_closed > 0 AND t_end > t_inside, false) AS may_go_on,
+  CASE WHEN marked THEN 'mark' WHEN on_word AND NOT endswith(w3, '9') AND t_inside >= {often} AND t_inside >= {ratio} * t_end THEN 'goes_on' END AS reason
+FROM {ends} e LEFT JOIN {trigrams} t ON on_word AND xxhash64(e.w1, e.w2, e.w3) = t.h
 """
-_LONGER_WORDS = r"""
-SELECT part, sum(n) AS n_longer
-FROM (SELECT n_inside + n_end - n_last AS n, explode(transform(sequence(3, length(w3) - 1), k -> left(w3, k))) AS part
-      FROM {vocabulary} WHERE n_inside + n_end > n_last AND length(w3) > 3)
-GROUP BY part
+
+#: The ends on which more is to be found out, and of the pairs those that begin as one of them does.
+_OPEN_PAIRS = "SELECT DISTINCT w2, w3 FROM {by_trigram} WHERE may_go_on AND reason IS NULL AND w3 <> ''"
+_ALIKE = r"""
+SELECT p.*, k FROM {pairs} p LEFT SEMI JOIN (SELECT DISTINCT w2, left(w3, 1) AS one FROM {open_pairs}) o ON p.w2 = o.w2 AND left(p.w3, 1) = o.one
+       LATERAL VIEW explode(sequence(1, length(p.w3))) AS k
 """
 
-#: The last three words of each value.
-_ENDS = r"""
-SELECT id, field, source, bare, n, text RLIKE '[\\p{{L}},&–-]\\s*$' AS open_end, get(words, size(words) - 1) AS w3,
-       coalesce(get(words, size(words) - 2), '') AS w2, coalesce(get(words, size(words) - 3), '') AS w1
-FROM {words}
+#: Of each such end: how often the two words go on and end, and how often a longer word follows the first of them.
+_BY_PAIR = r"""
+SELECT o.w2, o.w3, sum(CASE WHEN a.w3 = o.w3 THEN n_inside ELSE 0 END) AS p_inside, sum(CASE WHEN a.w3 = o.w3 THEN n_end ELSE 0 END) AS p_end,
+       sum(CASE WHEN a.w3 <> o.w3 THEN n_inside + n_end - n_last ELSE 0 END) AS p_longer
+FROM {open_pairs} o JOIN {alike} a ON a.w2 = o.w2 AND left(a.w3, a.k) = o.w3 GROUP BY o.w2, o.w3
+"""
+
+#: The same of its last word alone.
+_VOCABULARY = "SELECT w3, sum(n_inside) AS n_inside, sum(n_end) AS n_end, sum(n_last) AS n_last FROM {pairs} GROUP BY w3"
+_BY_WORD = r"""
+SELECT o.w3, sum(CASE WHEN a.w3 = o.w3 THEN n_inside ELSE 0 END) AS v_inside, sum(CASE WHEN a.w3 = o.w3 THEN n_end ELSE 0 END) AS v_end,
+       sum(CASE WHEN a.w3 = o.w3 THEN n_last ELSE 0 END) AS v_last, sum(CASE WHEN a.w3 <> o.w3 THEN n_inside + n_end - n_last ELSE 0 END) AS v_longer
+FROM (SELECT DISTINCT w3 FROM {open_pairs}) o
+JOIN (SELECT v.*, k FROM {vocabulary} v LEFT SEMI JOIN (SELECT DISTINCT left(w3, 3) AS three FROM {open_pairs}) s ON left(v.w3, 3) = s.three
+      LATERAL VIEW explode(sequence(least(3, length(v.w3)), length(v.w3))) AS k) a ON left(a.w3, a.k) = o.w3
+GROUP BY o.w3
 """
 
 #: What the ends say. In order: a mark of the cut; a last trigram, else pair, else word, that goes on inside texts and
-#: almost never ends one; a last word that is only the beginning of those that follow the word before it.
+#: almost never ends a clause; a last word that is only the beginning of those that follow the word before it, or that
+#: is the beginning of others and stands nowhere but at an end. Ends on numbers vary, so only a beginning counts there,
+#: and only if it is far rarer than what is longer.
 _SAID = r"""
-SELECT e.id, e.field, e.source, e.n, e.open_end,
-  e.bare RLIKE '[\\p{{L}}\\p{{N}},&–-]$' AND NOT coalesce(t.n_end > 1 AND t.n_end > t.n_inside, false) AS may_go_on,
+SELECT e.id, e.field, e.source, e.n, e.open_end, e.may_go_on AND NOT e.on_number AS may_go_on,
   CASE
-    WHEN e.bare RLIKE '(\\.\\.\\.|…|\\[(\\.\\.\\.|…)\\]|\\x{{FFFD}})$' THEN 'mark'
-    WHEN e.bare RLIKE '[\\p{{L}}\\p{{N}},&–-]$' AND (
-         (t.n_inside >= {often} AND t.n_inside >= {ratio} * t.n_end)
-      OR (coalesce(t.n_inside + t.n_end - 1, 0) < {often} AND p.n_inside >= {often} AND p.n_inside >= {ratio} * p.n_end)
-      OR (coalesce(p.n_inside + p.n_end - 1, 0) < {often} AND v.n_inside >= {often} AND v.n_inside >= {ratio} * v.n_end)) THEN 'goes_on'
-    WHEN e.bare RLIKE '[\\p{{L}}\\p{{N}}]$' AND (
-         (g.n_longer >= {often} AND g.n_longer >= {ratio} * coalesce(p.n_inside + p.n_end, 0))
-      OR (coalesce(v.n_inside + v.n_end, 0) <= coalesce(v.n_last, 0) AND h.n_longer >= 1)) THEN 'part_of_word'
+    WHEN e.reason IS NOT NULL OR NOT e.may_go_on THEN e.reason
+    WHEN NOT on_number AND ((t_inside + t_end - 1 < {often} AND p_inside >= {often} AND p_inside >= {ratio} * p_end)
+      OR (coalesce(p_inside + p_end - 1, 0) < {often} AND v_inside >= {often} AND v_inside >= {ratio} * v_end)) THEN 'goes_on'
+    WHEN (p_longer >= {often} AND p_longer >= {ratio} * if(on_number, {ratio}, 1) * (p_inside + p_end))
+      OR (NOT on_number AND coalesce(v_inside + v_end, 0) <= coalesce(v_last, 0) AND v_longer >= 1) THEN 'part_of_word'
   END AS reason
-FROM {ends} e
-LEFT JOIN {trigrams} t ON e.w1 = t.w1 AND e.w2 = t.w2 AND e.w3 = t.w3
-LEFT JOIN {pairs} p ON e.w2 = p.w2 AND e.w3 = p.w3
-LEFT JOIN {vocabulary} v ON e.w3 = v.w3
-LEFT JOIN {longer} g ON e.w2 = g.w2 AND e.w3 = g.part
-LEFT JOIN {longer_words} h ON e.w3 = h.part
+FROM {by_trigram} e LEFT JOIN {by_pair} p ON e.w2 = p.w2 AND e.w3 = p.w3 LEFT JOIN {by_word} v ON e.w3 = v.w3
 """
 
 #: Limits of fields: lengths at which far more values of a source end than at the lengths beside them, many of them visibly cut.
@@ -120,22 +141,13 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFr
         part = df.selectExpr(f"`{key}` AS id", f"'{f}' AS field", f"`{source}` AS source", f"`{f}` AS text")
         values = part if values is None else values.unionByName(part)
     words = spark.sql(_VALUES, values=values)
-    trigrams = cut(spark.sql(_TRIGRAMS, words=words))
-    pairs = cut(spark.sql(_PAIRS, trigrams=trigrams))
-    vocabulary = spark.sql(_VOCABULARY, pairs=pairs)
-    said = cut(
-        spark.sql(
-            _SAID,
-            ends=spark.sql(_ENDS, words=words),
-            trigrams=trigrams,
-            pairs=pairs,
-            vocabulary=vocabulary,
-            longer=spark.sql(_LONGER, pairs=pairs),
-            longer_words=spark.sql(_LONGER_WORDS, vocabulary=vocabulary),
-            often=OFTEN,
-            ratio=RATIO,
-        )
-    )
+    spots = spark.sql(_SPOTS, words=words)
+    by_trigram = cut(spark.sql(_BY_TRIGRAM, ends=spark.sql(_ENDS, words=words), trigrams=spark.sql(_TRIGRAMS, spots=spots), often=OFTEN, ratio=RATIO))
+    open_pairs = cut(spark.sql(_OPEN_PAIRS, by_trigram=by_trigram))
+    pairs = cut(spark.sql(_PAIRS, spots=spots))
+    by_pair = spark.sql(_BY_PAIR, open_pairs=open_pairs, alike=spark.sql(_ALIKE, pairs=pairs, open_pairs=open_pairs))
+    by_word = spark.sql(_BY_WORD, open_pairs=open_pairs, vocabulary=spark.sql(_VOCABULARY, pairs=pairs))
+    said = cut(spark.sql(_SAID, by_trigram=by_trigram, by_pair=by_pair, by_word=by_word, often=OFTEN, ratio=RATIO))
     limits = spark.sql(_LIMITS, said=said, least=LEAST, times=TIMES, visibly=VISIBLY)
     open_fields = spark.sql(_OPEN, said=said, least=LEAST, nearly_all=NEARLY_ALL)
     return spark.sql(_FOUND, said=said, limits=limits, open=open_fields)
