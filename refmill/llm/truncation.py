@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 
 from refmill.session import cut
 
+_SPLIT = r"""array_remove(split(regexp_replace(translate(lower(TEXT), '0123456789', '9999999999'),
+         '[.:?!/|]+(?=\\s|$)|["“”()\\[\\]{{}}\n\t]+', '¦ '), '[^\\p{{L}}\\p{{N}}¦]+'), '')"""
+
 #: One row per value: its words in small letters, with ¦ on the side where a clause begins or ends, and digits masked:
 #: a run of digits becomes as many 9s, so that 547-555 and 101-110 are one pattern.
 _VALUES = r"""
-SELECT id, field, source, text, length(text) AS n, array_remove(split(regexp_replace(translate(lower(text), '0123456789', '9999999999'),
-         '[.:?!/|]+(?=\\s|$)|["“”()\\[\\]{{}}\n\t]+', '¦ '), '[^\\p{{L}}\\p{{N}}¦]+'), '') AS c
+SELECT id, field, source, text, length(text) AS n, WHOLE AS c, TAIL AS tail_c
 FROM {values} WHERE text IS NOT NULL AND trim(text) <> ''
-"""
+""".replace("WHOLE", _SPLIT.replace("TEXT", "text")).replace("TAIL", _SPLIT.replace("TEXT", "right(text, {tail})"))
 
 #: Every word c with the two before it and the one after it. The start of a text counts as two empty words, so that
 #: short texts have trigrams too.
@@ -24,23 +26,25 @@ FROM (SELECT inline(arrays_zip(a, b, c, d))
 WHERE c IS NOT NULL AND c <> '¦'
 """
 
-#: How often a run of three words stands inside a clause (a word follows) and at the end of one; runs are kept as hashes.
-_TRIGRAMS = r"""
-SELECT xxhash64(w1, w2, w3) AS h, count_if(inside) AS t_inside, count_if(NOT inside) AS t_end, count_if(NOT inside AND NOT last) AS t_closed
-FROM {spots} GROUP BY 1
+#: How often a run of three words (h, their hash; w2 and w3 empty) and of two (w2 and w3; h is 0) stands inside a clause
+#: (a word follows), at the end of one, and at the end of all. Both in one pass over the texts.
+_RUNS = r"""
+SELECT h, w2, w3, count_if(inside) AS n_inside, count_if(NOT inside) AS n_end, count_if(last) AS n_last
+FROM (SELECT inside, last, inline(array(struct(xxhash64(w1, w2, w3) AS h, '' AS w2, '' AS w3), struct(0L, w2, w3))) FROM {spots})
+GROUP BY h, w2, w3
 """
-
-#: The same for two words, with how often they are the very last.
-_PAIRS = "SELECT w2, w3, count_if(inside) AS n_inside, count_if(NOT inside) AS n_end, count_if(last) AS n_last FROM {spots} GROUP BY w2, w3"
+_TRIGRAMS = "SELECT h, n_inside AS t_inside, n_end AS t_end, n_end - n_last AS t_closed FROM {runs} WHERE w3 = ''"
+_PAIRS = "SELECT w2, w3, n_inside, n_end, n_last FROM {runs} WHERE w3 <> ''"
 
 #: The last words of each value, and whether the text ends on a word, so that it may go on, or shows a mark of the cut.
+#: Words are taken from the last {tail} characters if those hold more than the three wanted, else from the whole text.
 _ENDS = r"""
 SELECT id, field, source, n, translate(element_at(c, -1), '¦', '') AS w3, translate(coalesce(get(c, size(c) - 2), ''), '¦', '') AS w2,
        translate(coalesce(get(c, size(c) - 3), ''), '¦', '') AS w1,
-       text RLIKE '(\\.\\.\\.|…|\\[(\\.\\.\\.|…)\\]|\\x{{FFFD}})[\\s"”\'’*;]*$' AS marked,
-       text RLIKE '[\\p{{L}},&–-]\\s*$' AS open_end,
-       text RLIKE '[\\p{{L}}\\p{{N}},&–-][\\s*;]*$' AS on_word
-FROM {words} WHERE size(c) > 0
+       right(rtrim(' \t\r\n"”\'’*;' FROM text), 6) RLIKE '(\\.\\.\\.|…|\\[(\\.\\.\\.|…)\\]|\\x{{FFFD}})$' AS marked,
+       right(rtrim(' \t\r\n' FROM text), 1) RLIKE '[\\p{{L}},&–-]' AS open_end,
+       right(rtrim(' \t\r\n*;' FROM text), 1) RLIKE '[\\p{{L}}\\p{{N}},&–-]' AS on_word
+FROM (SELECT id, field, source, text, n, if(n > {tail} AND size(tail_c) <= 4, c, tail_c) AS c FROM {words}) WHERE size(c) > 0
 """
 
 #: What the last trigram says: complete if it ends a clause before a mark elsewhere, and no more often goes on; going on if
@@ -120,6 +124,8 @@ SELECT source, field, count(1) AS n_values, count(reason) AS n_cut, round(count(
 FROM {found} GROUP BY source, field
 """
 
+#: Characters at the end of a text from which its last words are taken, if they hold enough.
+TAIL = 120
 #: A trigram counts as seen if it stands so often in other places; going on is so many times as common as ending.
 OFTEN, RATIO = 3, 10
 #: A limit has so many values, so many times those expected by the lengths beside it, of which this share is visibly cut.
@@ -140,11 +146,11 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFr
     for f in fields:
         part = df.selectExpr(f"`{key}` AS id", f"'{f}' AS field", f"`{source}` AS source", f"`{f}` AS text")
         values = part if values is None else values.unionByName(part)
-    words = spark.sql(_VALUES, values=values)
-    spots = spark.sql(_SPOTS, words=words)
-    by_trigram = cut(spark.sql(_BY_TRIGRAM, ends=spark.sql(_ENDS, words=words), trigrams=spark.sql(_TRIGRAMS, spots=spots), often=OFTEN, ratio=RATIO))
+    words = spark.sql(_VALUES, values=values, tail=TAIL)
+    runs = cut(spark.sql(_RUNS, spots=spark.sql(_SPOTS, words=words)))
+    by_trigram = cut(spark.sql(_BY_TRIGRAM, ends=spark.sql(_ENDS, words=words, tail=TAIL), trigrams=spark.sql(_TRIGRAMS, runs=runs), often=OFTEN, ratio=RATIO))
     open_pairs = cut(spark.sql(_OPEN_PAIRS, by_trigram=by_trigram))
-    pairs = cut(spark.sql(_PAIRS, spots=spots))
+    pairs = spark.sql(_PAIRS, runs=runs)
     by_pair = spark.sql(_BY_PAIR, open_pairs=open_pairs, alike=spark.sql(_ALIKE, pairs=pairs, open_pairs=open_pairs))
     by_word = spark.sql(_BY_WORD, open_pairs=open_pairs, vocabulary=spark.sql(_VOCABULARY, pairs=pairs))
     said = cut(spark.sql(_SAID, by_trigram=by_trigram, by_pair=by_pair, by_word=by_word, often=OFTEN, ratio=RATIO))
