@@ -30,7 +30,7 @@ WHERE c IS NOT NULL AND c <> '¦'
 #: (a word follows), at the end of one, and at the end of all. Both in one pass over the texts.
 _RUNS = r"""
 SELECT h, w2, w3, count_if(inside) AS n_inside, count_if(NOT inside) AS n_end, count_if(last) AS n_last
-FROM (SELECT inside, last, inline(array(struct(xxhash64(w1, w2, w3) AS h, '' AS w2, '' AS w3), struct(0L, w2, w3))) FROM {spots})
+FROM (SELECT inside, last, stack(2, xxhash64(w1, w2, w3), '', '', 0L, w2, w3) AS (h, w2, w3) FROM {spots})
 GROUP BY h, w2, w3
 """
 _TRIGRAMS = "SELECT h, n_inside AS t_inside, n_end AS t_end, n_end - n_last AS t_closed FROM {runs} WHERE w3 = ''"
