@@ -41,9 +41,9 @@ _PAIRS = "SELECT w2, w3, n_inside, n_end, n_last FROM {runs} WHERE w3 <> ''"
 _ENDS = r"""
 SELECT id, field, source, n, translate(element_at(c, -1), '¦', '') AS w3, translate(coalesce(get(c, size(c) - 2), ''), '¦', '') AS w2,
        translate(coalesce(get(c, size(c) - 3), ''), '¦', '') AS w1,
-       right(rtrim(' \t\r\n"”\'’*;' FROM text), 6) RLIKE '(\\.\\.\\.|…|\\[(\\.\\.\\.|…)\\]|\\x{{FFFD}})$' AS marked,
-       right(rtrim(' \t\r\n' FROM text), 1) RLIKE '[\\p{{L}},&–-]' AS open_end,
-       right(rtrim(' \t\r\n*;' FROM text), 1) RLIKE '[\\p{{L}}\\p{{N}},&–-]' AS on_word
+       right(trim(TRAILING ' \t\r\n"”\'’*;' FROM text), 6) RLIKE '(\\.\\.\\.|…|\\[(\\.\\.\\.|…)\\]|\\x{{FFFD}})$' AS marked,
+       right(trim(TRAILING ' \t\r\n' FROM text), 1) RLIKE '[\\p{{L}},&–-]' AS open_end,
+       right(trim(TRAILING ' \t\r\n*;' FROM text), 1) RLIKE '[\\p{{L}}\\p{{N}},&–-]' AS on_word
 FROM (SELECT id, field, source, text, n, if(n > {tail} AND size(tail_c) <= 4, c, tail_c) AS c FROM {words}) WHERE size(c) > 0
 """
 
