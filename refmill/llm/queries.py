@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from refmill.llm.copies import collapse, copies, copy_counts
 from refmill.llm.lookalike import lookalike_groups, skeletons, with_standins
+from refmill.llm.names import link_names, name_mentions
 from refmill.llm.overlap import cross_split_pairs, overlap_report
 from refmill.llm.tokens import encode_texts
 from refmill.llm.truncation import truncated, truncation_rates
@@ -37,6 +38,23 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(_cuts(spark, sf_dir))
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = name_mentions(table(spark, sf_dir, "citations"), "citation", "citation_id", ["authors"], ["venue"])
+    held = name_mentions(table(spark, sf_dir, "provider_candidates"), "candidate", "candidate_id", ["authors"], [])
+    return link_names(cited.unionByName(held), table(spark, sf_dir, "name_authority"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(spark, sf_dir).where("name <> preferred_name").select("record_kind", "record_id", "field_name", "pos", "entity_id")
+
+
+def p5_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, preferred_name, n_mentions, n_spellings) of each entity met."""
+    named = _named(spark, sf_dir)
+    spellings = named.groupBy("entity_id", "preferred_name", "name").count()
+    return spellings.groupBy("entity_id", "preferred_name").agg({"count": "sum", "name": "count"}).withColumnsRenamed({"sum(count)": "n_mentions", "count(name)": "n_spellings"})
+
+
 def _collapsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return collapse(
         {
@@ -66,5 +84,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_variants": p5_variants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
