@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from refmill.llm.copies import collapse, copies, copy_counts
+from refmill.llm.linkage import link, records
 from refmill.llm.lookalike import lookalike_groups, skeletons, with_standins
 from refmill.llm.names import link_names, name_mentions
 from refmill.llm.overlap import cross_split_pairs, overlap_report
@@ -13,6 +14,20 @@ from refmill.llm.truncation import truncated, truncation_rates
 from refmill.session import table
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = records(table(spark, sf_dir, "citations"), "citation", "citation_id", "title", "raw", "authors", "year", "doi", "venue")
+    held = records(table(spark, sf_dir, "provider_candidates"), "candidate", "candidate_id", "title", None, "authors", "year", "doi", "venue")
+    return link(cited, held)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).where("match").select("citation_id", "candidate_id")
+
+
+def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).where("match").select("citation_id", "candidate_id", "confidence")
+
+
 def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = skeletons(table(spark, sf_dir, "citations"), "citation", "citation_id", "raw")
     return raw.unionByName(skeletons(table(spark, sf_dir, "provider_candidates"), "candidate", "candidate_id", "title"))
@@ -84,5 +99,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_variants": p5_variants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_variants": p5_variants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
