@@ -149,10 +149,18 @@ def _settled(text: str) -> str:
     return "".join(out)
 
 
+#: Text of ASCII, whole Latin letters and usual marks only: nothing in it stands in for anything else.
+_SIMPLE = re.compile("[\\x00-\\x7f\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u0130\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u2010-\\u2015\\u2018-\\u201f]*")
+_TO_PLAIN = str.maketrans(PUNCTUATION)
+_MARKS = re.compile("[\\u0300-\\u036f]+")
+
+
 def plain(text: str) -> str:
     """Small letters of one form, with whole accented letters: what copies are compared by."""
     if text.isascii():
         return text.lower()
+    if _SIMPLE.fullmatch(text):
+        return unicodedata.normalize("NFC", text.translate(_TO_PLAIN).casefold())
     return unicodedata.normalize("NFC", _settled(text).casefold())
 
 
@@ -160,6 +168,8 @@ def fold(text: str) -> str:
     """plain without accents."""
     if text.isascii():
         return text.lower()
+    if _SIMPLE.fullmatch(text):
+        return _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_TO_PLAIN)).casefold())
     return "".join(ch for ch in _settled(text).casefold() if not unicodedata.combining(ch))
 
 
