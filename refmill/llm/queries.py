@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from refmill.llm.copies import collapse, copies, copy_counts
 from refmill.llm.linkage import link, records
 from refmill.llm.lookalike import lookalike_groups, skeletons, with_standins
+from refmill.llm.mixing import mix
 from refmill.llm.names import link_names, name_mentions
 from refmill.llm.overlap import cross_split_pairs, overlap_report
-from refmill.llm.tokens import encode_texts
+from refmill.llm.subjects import subjects_of, train
+from refmill.llm.tokens import encode_texts, token_counts
 from refmill.llm.truncation import truncated, truncation_rates
 from refmill.session import table
 
@@ -99,5 +101,29 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_variants": p5_variants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids}
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return mix(docs, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    areas = sorted(r.subject for r in table(spark, sf_dir, "subject_areas").select("subject").distinct().limit(1000).collect())
+    model = train(docs, table(spark, sf_dir, "subject_labels"), areas, "doc_id", "text", "source")
+    return subjects_of(docs, model, "doc_id", "text", "source")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_found(spark, sf_dir).groupBy("subject").count().withColumnRenamed("count", "n_documents")
+
+
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_variants": p5_variants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLES: dict[str, str] = {}
