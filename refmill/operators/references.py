@@ -1,0 +1,41 @@
+"""Ordered-line operators: reference sections, entries, repeated lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Headings that open a reference list, by their letters alone.
+HEADINGS = ("references", "bibliography", "workscited", "referencelist", "literatur", "referencias")
+START = r"^\s*(?:\[[0-9]{1,3}\]|[0-9]{1,3}\.)\s"
+
+
+def lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, line): the lines of each text, counted from 1; none for a null text, one for an empty one."""
+    parts = F.posexplode(F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n")).alias("pos", "line")
+    return df.where(F.col(text).isNotNull()).select(key, parts).withColumn("pos", F.col("pos") + 1)
+
+
+def is_heading(line: Column) -> Column:
+    letters = F.regexp_replace(F.lower(F.regexp_replace(line, r"^\s*[0-9.]+\s*", "")), "[^a-z]", "")
+    return (F.length(line) <= 100) & letters.isin(*HEADINGS)
+
+
+def sections(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pos, line): of lines(), those after the first heading of a reference list that aren't blank; no heading, no rows."""
+    first = F.min(F.when(is_heading(F.col("line")), F.col("pos"))).over(Window.partitionBy(key))
+    return rows.withColumn("head", first).where("pos > head and trim(line) <> ''").select(key, "pos", "line")
+
+
+def entries(rows: DataFrame, key: str) -> DataFrame:
+    """(key, entry, first_pos, n_lines, raw): numbered entries of a section, each from its number to the next; lines before the first make none."""
+    order = Window.partitionBy(key).orderBy("pos")
+    numbered = rows.withColumn("entry", F.sum(F.col("line").rlike(START).cast("int")).over(order)).where("entry > 0")
+    joined = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"])))
+    return numbered.groupBy(key, "entry").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_lines"), joined.alias("raw"))
+
+
+def repeated_lines(rows: DataFrame, key: str) -> DataFrame:
+    """(key, line_key, n): lines of up to 100 characters that stand in a text more than once, but for case and blanks."""
+    line = F.lower(F.trim("line"))
+    return rows.where("trim(line) <> '' and length(line) <= 100").groupBy(key, line.alias("line_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
