@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Characters of a chunk, and of the overlap read on either side of it to find where boundaries agree.
 CHUNK, OVERLAP = 65_536, 2_048
+#: Characters before the end of a window in which a pre-token may be read wrongly: those of the longest fixed one, and one more.
+EDGE = 4
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -35,22 +37,23 @@ def _pretoken():
 
 
 def boundaries(text: str, start: int, stop: int) -> list[int]:
-    """Where pre-tokens end when text is read from start, up to stop; an end at stop counts only if the text ends there.
+    """Where pre-tokens end when text is read from start, up to stop; ends within EDGE of stop count only if the text ends there.
 
     The end of a pre-token depends on nothing before its start, so two readings that share one end share all later ones.
     """
     ends = [m.end() for m in _pretoken().finditer(text, start, stop)]
     if stop < len(text):
-        # the lookahead at the window's edge saw an end that isn't there
-        while ends and ends[-1] >= stop:
+        # at the window's edge blanks and "'re" were read as if the text ended
+        while ends and ends[-1] > stop - EDGE:
             ends.pop()
     return ends
 
 
 def agreed(text: str, left: int, at: int, stop: int) -> int | None:
-    """The first place from `at` on where the reading from left and the one from `at` both end a pre-token."""
+    """The first place from `at` on where the reading from left and the one from `at` both end a pre-token, and not on a blank:
+    a run of blanks is split otherwise at the end of a text than before a word."""
     there = set(boundaries(text, at, stop)) | {at}
-    return next((b for b in boundaries(text, left, stop) if b >= at and b in there), None)
+    return next((b for b in boundaries(text, left, stop) if b >= at and b in there and not text[b - 1].isspace()), None)
 
 
 def encode_chunk(text: str, begin: int, end: int, first: bool, last: bool, path: str) -> tuple[int | None, int | None, list[int]]:
