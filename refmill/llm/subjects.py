@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from refmill.llm.text import fold
 
 #: Labelled documents the model is fitted on, at most (those whose ids hash lowest), and terms it keeps.
-SAMPLE, TERMS = 20_000, 60_000
+SAMPLE, TERMS = 5_000, 60_000
 #: Share of a document's sentences about a subject that makes it one of the document's, and the most it may have.
 SHARE, MOST = 1 / 3, 2
 #: Width of the beam, and rounds of fitting.
