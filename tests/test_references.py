@@ -46,3 +46,36 @@ def test_confusion_matches_published_figures(spark):
 def test_every_query_is_named_once():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_pairs_of_all_scripts_are_scored(spark, tmp_path):
+    queries = importlib.import_module("__spark_entry__").queries()
+    kind = "title string, authors array<string>, year int, venue string, doi string"
+    cited = [(1, "Étude des mots", ["Núñez, A."], 2020, "Café", "10.1234/a"), (2, "参考文献 研究", ["王伟"], 2019, "学报", "10.1234/b"), (3, "Plain words", ["Lee, B."], 2001, "Notes", "10.1234/c")]
+    held = [(10, "Etude des mots", ["Nunez, A."], 2020, "Cafe", "10.1234/A"), (11, "Étude des mots", ["Núñez, A."], 2020, "Café", "10.1234/a"), (12, "参考文献 探究", ["王伟"], 2020, "学报", "10.1234/b"), (13, "Plain word", ["Лев, B."], 2001, "Notes", "10.1234/c")]
+    spark.createDataFrame(cited, "citation_id long, " + kind).write.parquet(f"{tmp_path}/citations.parquet")
+    spark.createDataFrame([(*h, "x") for h in held], "candidate_id long, " + kind + ", provider string").write.parquet(f"{tmp_path}/provider_candidates.parquet")
+
+    def sim(a, b):
+        return 1 - _distance(a, b) / max(len(a), len(b))
+
+    expected = {}
+    for c in cited:
+        for h in held:
+            if c[5].lower() == h[5].lower():
+                names = [x[2][0].split(",")[0].lower() for x in (c, h)]
+                year = {0: 1.0, 1: 0.55}[abs(c[3] - h[3])]
+                expected[c[0], h[0]] = 0.65 * sim(c[1].lower(), h[1].lower()) + 0.2 * sim(*names) + 0.1 * year + 0.05 * sim(c[4].lower(), h[4].lower())
+    got = {(r.citation_id, r.candidate_id): r.overall for r in queries["score_components"](spark, str(tmp_path)).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-6 for k, v in expected.items())
+    best = {r.citation_id: r.candidate_id for r in queries["best_evidence"](spark, str(tmp_path)).collect()}
+    assert best == {1: 11, 2: 12, 3: 13}
