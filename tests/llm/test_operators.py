@@ -115,3 +115,21 @@ def test_subjects():
     f = lambda t: m.decode(m.features([set(subjects.terms(s)) for s in subjects.sentences(t)], "x"))
     assert f("courts matter. courts rule.\n\nReferences\nrunners runners.") == ["law"] and f("Nothing of note.") == []
     assert subjects.sentences("") == []
+
+
+def test_blocking_survives_damage_to_leading_words(spark):
+    schema = "id long, title string, raw string, authors array<string>, year int, doi string, venue string"
+    side = lambda rows, k, raw: linkage.records(spark.createDataFrame(rows, schema), k, "id", "title", raw, "authors", "year", "doi", "venue")
+    filler = [(100 + i, f"alpha{i % 7} beta{i % 5} gamma{i % 3} delta{i % 11} plain study", "", [f"Author{i} A"], 1990 + i % 20, "", "") for i in range(80)]
+    title = "alpha1 beta2 quartz lichen tundra basalt glacier"
+    held = side([(1, "alpha1 beta2 quarzt lichne tundra basalt glacier", "", ["Lee, Ann"], 2001, "", ""), *filler], "p", None)
+    cited = [
+        (1, title, "", ["Lee, Ann"], 2001, "", ""),  # two slips in the registry stand first there
+        (2, title, "", None, None, "", ""),  # neither author nor year
+        (3, "alpha1 beta2 quartz lichen tundra basalt", "", ["Lee, Ann"], 2001, "", ""),
+        (4, title, "lee ann plain study gamma1 delta3 alpha4 beta3 delta5", ["Lee, Ann"], 2001, "", ""),
+    ]
+    counts = linkage._word_counts(held)
+    keys = lambda df: {r.id: set(r["keys"]) for r in linkage.blocking_keys(df, counts).collect()}
+    record = keys(held)[1]
+    assert all(record & own for own in keys(side(cited, "c", "raw")).values())
