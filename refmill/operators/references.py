@@ -5,9 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refmill.functions.text import extract_year, normalize_doi
+
 #: Headings that open a reference list, by their letters alone.
 HEADINGS = ("references", "bibliography", "workscited", "referencelist", "literatur", "referencias")
-START = r"^\s*(?:\[[0-9]{1,3}\]|[0-9]{1,3}\.)\s"
+#: What the letters of a heading after a reference list begin with.
+END_HEADINGS = (
+    "appendix", "appendices", "annex", "annexes", "acknowledgments", "acknowledgements", "declarations", "funding", "fundinginformation", "conflictofinterest", "conflictsofinterest",
+    "authorbiographies", "authorbiography", "biographicalnotes", "abouttheauthors", "authordetails", "howtocitethisarticle",
+)
+#: Ends of a list inside a line; what stands before them still belongs to it.
+END_INLINE = (
+    r"(?iU)(?<!\w)(?:\d{1,4}\s+)?(?:appendix|appendices|annex|annexes|附录)\s+[A-Z0-9IVX一二三四五六七八九十]+\s*[:：.\-–—]",
+    r"(?iU)(?<!\w)(?:how\s+to\s+cite\s+this\s+article|author\s+biograph(?:y|ies)|biographical\s+notes|about\s+the\s+authors)",
+)
+_UPPER = "A-ZÀ-ÖØ-Þ"
+_YEAR = r"(?:18|19|20)\d{2}[a-z]?"
+#: How an entry begins: with a number, a person and a year, a body and a date, or Chinese and a year.
+NUMBERED = r"^\s*(?:\[[0-9]+\]|[0-9]{1,3}[.)])\s"
+PERSON = rf"(?U)^\s*[{_UPPER}][\w'’\-]+(?:\s+[{_UPPER}][\w'’\-]+)*,\s*(?:[{_UPPER}]\.(?:\s*-\s*[{_UPPER}]\.)?\s*){{1,4}}(?=.{{0,220}}?(?:\(|\b){_YEAR})"
+BODY = rf"(?U)^\s*[{_UPPER}][\w&'’\-]*(?:\s+(?:[{_UPPER}][\w&'’\-]+|of|and|the)){{0,11}}\.\s*(?:\((?:{_YEAR}(?:,\s*[^)]{{1,40}})?|n\.?\s*d\.?)\)|{_YEAR}\.)"
+CHINESE = rf"^\s*[\u3400-\u9fff].{{0,100}}?[（(]{_YEAR}[）)]"
+STARTS = (NUMBERED, PERSON, BODY, CHINESE)
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -16,9 +35,12 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(key, parts).withColumn("pos", F.col("pos") + 1)
 
 
+def _letters(line: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_replace(line, r"^\s*[0-9.]+\s*", "")), "[^a-z]", "")
+
+
 def is_heading(line: Column) -> Column:
-    letters = F.regexp_replace(F.lower(F.regexp_replace(line, r"^\s*[0-9.]+\s*", "")), "[^a-z]", "")
-    return (F.length(line) <= 100) & letters.isin(*HEADINGS)
+    return (F.length(line) <= 100) & _letters(line).isin(*HEADINGS)
 
 
 def sections(rows: DataFrame, key: str) -> DataFrame:
@@ -27,12 +49,52 @@ def sections(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("head", first).where("pos > head and trim(line) <> ''").select(key, "pos", "line")
 
 
+def is_end(line: Column) -> Column:
+    """Whether a whole line is a heading after the list."""
+    letters = _letters(line)
+    heads = letters.rlike("^(?:" + "|".join(END_HEADINGS) + ")")
+    return (F.length(F.trim(line)) <= 180) & heads
+
+
+def before_end(line: Column) -> Column:
+    """What of a line stands before an end of the list inside it: all of it if there is none, nothing if the line is a heading."""
+    out = line
+    for p in END_INLINE:
+        out = F.regexp_replace(out, "(?s)" + p + ".*$", "")
+    return F.when(is_end(line), F.lit("")).otherwise(out)
+
+
+def bounded_sections(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pos, line): of lines(), the lines of the reference list up to its end heading; all lines of a text without a heading, where end headings don't count."""
+    every = Window.partitionBy(key)
+    head = F.min(F.when(is_heading(F.col("line")), F.col("pos"))).over(every)
+    kept = before_end(F.col("line"))
+    rows = rows.withColumn("head", head).withColumn("kept", F.when(F.col("head").isNull(), F.col("line")).otherwise(kept))
+    end = F.min(F.when((F.col("pos") > F.col("head")) & (F.col("kept") != F.col("line")), F.col("pos"))).over(every)
+    rows = rows.withColumn("end", end).where("head is null or pos > head and (end is null or pos <= end)")
+    return rows.where("trim(kept) <> ''").select(key, "pos", F.col("kept").alias("line"))
+
+
+def is_start(line: Column) -> Column:
+    found = line.rlike(STARTS[0])
+    for p in STARTS[1:]:
+        found = found | line.rlike(p)
+    return found
+
+
+def looks_like_reference(raw: Column) -> Column:
+    """Whether a text is long enough for a reference and has a year, a DOI or says that it has no date."""
+    dated = extract_year(raw).isNotNull() | (normalize_doi(raw) != "") | raw.rlike(r"\(\s*n\.?\s*d\.?\s*\)")
+    return (F.length(raw) >= 25) & dated
+
+
 def entries(rows: DataFrame, key: str) -> DataFrame:
-    """(key, entry, first_pos, n_lines, raw): numbered entries of a section, each from its number to the next; lines before the first make none."""
+    """(key, entry, first_pos, n_lines, raw): entries of a section, each from a line that begins one to the next. Lines before the first are entry 0 if they look like a reference."""
     order = Window.partitionBy(key).orderBy("pos")
-    numbered = rows.withColumn("entry", F.sum(F.col("line").rlike(START).cast("int")).over(order)).where("entry > 0")
+    begun = rows.withColumn("entry", F.sum(is_start(F.col("line")).cast("int")).over(order))
     joined = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"])))
-    return numbered.groupBy(key, "entry").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_lines"), joined.alias("raw"))
+    got = begun.groupBy(key, "entry").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_lines"), joined.alias("raw"))
+    return got.where((F.col("entry") > 0) | looks_like_reference(F.col("raw")))
 
 
 def repeated_lines(rows: DataFrame, key: str) -> DataFrame:

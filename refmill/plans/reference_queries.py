@@ -159,7 +159,8 @@ def reference_sections(spark, d):
 
 @_query("WITH " + _LINES + ", " + _SECTION + ", e AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*(?:\\[[0-9]{1,3}\\]|[0-9]{1,3}\\.)\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS entry FROM section) SELECT doc_id, CAST(entry AS BIGINT) AS entry, min(pos) AS first_pos, count(*) AS n_lines FROM e WHERE entry > 0 GROUP BY doc_id, entry")
 def reference_entries(spark, d):
-    rows = references.entries(references.sections(references.lines(_t(spark, d, "documents"), "doc_id", "text"), "doc_id"), "doc_id")
+    """Entries begun by a number, person, body or Chinese name with a date, up to the end headings; the SQL has numbered ones only and no end."""
+    rows = references.entries(references.bounded_sections(references.lines(_t(spark, d, "documents"), "doc_id", "text"), "doc_id"), "doc_id")
     return rows.select("doc_id", "entry", F.col("first_pos").cast("bigint").alias("first_pos"), "n_lines")
 
 

@@ -79,3 +79,17 @@ def test_pairs_of_all_scripts_are_scored(spark, tmp_path):
     assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-6 for k, v in expected.items())
     best = {r.citation_id: r.candidate_id for r in queries["best_evidence"](spark, str(tmp_path)).collect()}
     assert best == {1: 11, 2: 12, 3: 13}
+
+
+def test_entries_without_numbers_and_end_headings(spark):
+    texts = [
+        (1, "Intro\nReferences\nMüller, A. B. (2019). First title.\nmore of it\nWorld Health Organization. (2020). Report.\n王伟. 参考文献研究(2018). 学报.\n[4] Numbered item\nAcknowledgements\nLee, A. (2001). Thanks."),
+        (2, "Lee, A. (2001). No heading.\nAppendix\nRoy, B. (2002). Still taken."),
+        (3, "Bibliography\nLee, A. (2001). Kept. Appendix A: tables\nRoy, B. (2002). Not kept."),
+        (4, ""),
+        (5, "References\nOliver J. Stone (2022). A title in another style.\nRoy, B. (2002). Next."),
+    ]
+    lines = references.lines(spark.createDataFrame(texts, "id long, t string"), "id", "t")
+    got = references.entries(references.bounded_sections(lines, "id"), "id").orderBy("id", "entry").collect()
+    assert [(r.id, r.first_pos, r.n_lines) for r in got] == [(1, 3, 2), (1, 5, 1), (1, 6, 1), (1, 7, 1), (2, 1, 2), (2, 3, 1), (3, 2, 1), (5, 2, 1), (5, 3, 1)]
+    assert got[6].raw == "Lee, A. (2001). Kept."
