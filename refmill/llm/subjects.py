@@ -30,7 +30,7 @@ def sentences(text: str) -> list[str]:
     out = []
     for part in text.replace("\r\n", "\n").split("\n\n"):
         first, _, _ = part.partition("\n")
-        if _LIST.match(first):
+        if _LIST.match(first) or not first.isascii() and _LIST.match(fold(first)):
             break
         out += [s for s in _END.split(part.replace("\n", "")) if s]
     return out

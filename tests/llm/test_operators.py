@@ -133,3 +133,7 @@ def test_blocking_survives_damage_to_leading_words(spark):
     keys = lambda df: {r.id: set(r["keys"]) for r in linkage.blocking_keys(df, counts).collect()}
     record = keys(held)[1]
     assert all(record & own for own in keys(side(cited, "c", "raw")).values())
+
+
+def test_reference_list_headings_with_accents():
+    assert subjects.sentences("One.\n\nBibliografía\nTwo.") == ["One."]
