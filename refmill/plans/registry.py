@@ -5,6 +5,6 @@ from __future__ import annotations
 from refmill.plans import packed_queries, reference_queries
 
 _MODULES = (packed_queries, reference_queries)
-FLAGSHIP = "best_evidence"
+FLAGSHIP = "audit"
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
