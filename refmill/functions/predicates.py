@@ -18,6 +18,7 @@ END_INLINE = (
     r"(?i)(?<![\p{L}\p{N}_])(?:\d{1,4}\s+)?(?:appendix|appendices|annex|annexes|附录)\s+[A-Z0-9IVX一二三四五六七八九十]+[:：.\-–—]",
     r"(?i)(?<![\p{L}\p{N}_])(?:how\s+to\s+cite\s+this\s+article|author\s+biograph(?:y|ies)|biographical\s+notes|about\s+the\s+authors)",
 )
+_MAY_END = r"(?i)append|annex|附录|to\s+cite|biograph|the\s+authors"
 UPPER = "A-ZÀ-ÖØ-Þ"
 LETTER = r"\p{L}\p{N}_'’\-"
 _DATED = r"(?:18|19|20)[0-9]{2}[a-z]?"
@@ -63,9 +64,10 @@ def is_end_heading(line: Column) -> Column:
 
 def before_end(line: Column) -> Column:
     """What of a line belongs to the list: nothing of an end heading, of an end inside the line what stands before it."""
-    cut = F.trim(F.regexp_replace(line, "(?s)" + END_INLINE[0] + ".*$", ""))
-    cut = F.when(cut != line, cut).otherwise(F.trim(F.regexp_replace(line, "(?s)" + END_INLINE[1] + ".*$", "")))
-    return F.when(is_end_heading(line), F.lit("")).otherwise(cut)
+    first = F.when(line.rlike(END_INLINE[0]), F.trim(F.regexp_replace(line, "(?s)" + END_INLINE[0] + ".*$", "")))
+    cut = F.coalesce(first, F.trim(F.regexp_replace(line, "(?s)" + END_INLINE[1] + ".*$", "")))
+    # few lines have any of the words, and words are found sooner than the patterns
+    return F.when(is_end_heading(line), F.lit("")).when(line.rlike(_MAY_END), cut).otherwise(line)
 
 
 def is_start(line: Column) -> Column:

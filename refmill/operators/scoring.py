@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refmill.functions.text import normalize_doi, normalize_text, similarity, surnames
+from refmill.session import cut
 
 #: Weights of the parts of a score, caps and floor by DOI, and where title and authors contradict one.
 WEIGHTS = {"title": 0.65, "author": 0.20, "year": 0.10, "venue": 0.05}
@@ -68,20 +69,24 @@ def doi_pairs(cited: DataFrame, held: DataFrame) -> DataFrame:
 def title_search(cited: DataFrame, held: DataFrame, ckey: str, pkey: str, by: list[str], k: int = 5, least: float = 0.5) -> DataFrame:
     """(ckey, *by, pkey, jaccard, place): for each citation and value of the columns `by` of held the k records whose titles share the largest part of all words, at least `least`, ties by pkey.
 
-    Titles are compared once each, however many rows have them. Each title is looked up under its rarest words only: of n
-    words the first n - ceil(least * n) + 1, which two titles of that likeness can't both miss, so nothing is lost
-    and frequent words bring no pairs together. Of records with one title the first k are ranked. Empty titles find nothing.
+    Titles are compared once each, however many rows have them. Each title is looked up under every two of its rarest
+    words only: of n words the first n - ceil(least * n) + 2, of which two titles of that likeness share two, so nothing is
+    lost and frequent words bring no pairs together. Titles so short that they may share but one are looked up under each. Of records with one title the first k are ranked. Empty titles find nothing.
     """
     words = lambda df, side: df.select(F.col(f"{side}_title").alias("t")).where("t is not null and t <> ''").distinct().withColumn("w", F.array_distinct(F.split("t", " ")))
     ct, pt = words(cited, "c"), words(held, "p")
     df = pt.select(F.explode("w").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
 
-    def prefix(titles: DataFrame, name: str) -> DataFrame:
+    def keys(titles: DataFrame, name: str) -> DataFrame:
         ranked = titles.select("t", F.size("w").alias("m"), F.explode("w").alias("x")).join(df, "x", "left")
         ordered = ranked.groupBy("t", "m").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "x"))).alias("o"))
-        return ordered.select(F.col("t").alias(name), F.explode(F.transform(F.slice("o", F.lit(1), (F.col("m") - F.ceil(F.col("m") * least) + 1).cast("int")), lambda o: o["x"])).alias("x"))
+        rare = F.transform(F.slice("o", F.lit(1), (F.col("m") - F.ceil(F.col("m") * least) + 2).cast("int")), lambda o: o["x"])
+        two = F.flatten(F.transform(rare, lambda x: F.transform(F.filter(rare, lambda y: y > x), lambda y: F.xxhash64(x, y))))
+        alone = F.when(F.col("m") <= 1 / least, F.transform(rare, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
+        return ordered.select(F.col("t").alias(name), F.explode(F.concat(two, alone)).alias("x"))
 
-    met = prefix(ct, "ct").join(prefix(pt, "pt"), "x").select("ct", "pt").distinct()
+    # written, lest the likeness be worked out for every key two titles share instead of once
+    met = cut(keys(ct, "ct").join(keys(pt, "pt"), "x").select("ct", "pt").distinct())
     shared = F.size(F.array_intersect(F.split("ct", " "), F.split("pt", " ")))
     either = F.size(F.array_union(F.split("ct", " "), F.split("pt", " ")))
     scored = met.withColumn("jaccard", F.round(shared / either, 6)).where(F.col("jaccard") >= least)

@@ -12,7 +12,7 @@ from refmill.functions.text import DOI, collapse, extract_year, resolve
 START, GOES_ON = "\x01", "\x02"
 _NEXT = "|".join(p.removeprefix("^") for p in P.STARTS)
 #: Where an entry may begin within a line: after a closing mark, or after a DOI and what closes it.
-_INSIDE = rf"(?:(?<=[.;)\]])|(?<=10\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]{{1,200}}[,\]}}]{{0,3}}))\s+(?={_NEXT})"
+_INSIDE = rf"(?=\s+(?:{_NEXT}))(?:(?<=[.;)\]])|(?<=10\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]{{1,200}}[,\]}}]{{0,3}}))\s+"
 
 
 def lines_of(text: Column) -> Column:

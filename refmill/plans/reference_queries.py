@@ -134,8 +134,10 @@ def _sections(spark, d):
 @_query(f"WITH {_LINES}, {_SECTION} SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, bool_or(head IS NOT NULL) AS has_heading, min(head) + 1 AS first_pos, md5(string_agg(line, '|' ORDER BY pos) FILTER (WHERE line <> '')) AS lines_md5 FROM sec GROUP BY doc_id")
 def reference_sections(spark, d):
     full = F.filter("lines", lambda x: x != "")
-    out = _sections(spark, d).select("doc_id", F.size(full).cast("bigint").alias("n_lines"), "has_heading", F.when(F.col("has_heading"), F.col("first_pos")).cast("bigint").alias("first_pos"), F.when(F.size(full) > 0, F.md5(F.array_join(full, "|"))).alias("lines_md5"), F.size("lines").alias("k"))
-    return out.where("k > 0").drop("k")
+    # sections without any line give no row; a filter would be pushed down and work everything out twice
+    section = F.explode(F.filter(F.array(F.struct(full.alias("full"), (F.size("lines") > 0).alias("some"))), lambda x: x["some"])).alias("x")
+    out = _sections(spark, d).select("doc_id", "has_heading", "first_pos", section)
+    return out.select("doc_id", F.size("x.full").cast("bigint").alias("n_lines"), "has_heading", F.when(F.col("has_heading"), F.col("first_pos")).cast("bigint").alias("first_pos"), F.when(F.size("x.full") > 0, F.md5(F.array_join("x.full", "|"))).alias("lines_md5"))
 
 
 _ENTRIES = f"marked AS (SELECT *, sum(CASE WHEN s THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM (SELECT doc_id, pos, line, {Q.starts('line')} AS s, {Q.fragment('line')} AS f FROM sec WHERE line <> '')), ent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS entry, raw, repaired, lost FROM (SELECT doc_id, g, string_agg(line, ' ' ORDER BY pos) AS raw, coalesce(bool_or(f AND n > 1), false) AS repaired, coalesce(bool_or(f AND n = 1), false) AS lost FROM marked GROUP BY doc_id, g))"
