@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from refmill.llm.copies import collapse, copies, copy_counts
-from refmill.llm.linkage import link, records
+from refmill.llm.linkage import SURE, link, records
 from refmill.llm.lookalike import lookalike_groups, skeletons, with_standins
 from refmill.llm.mixing import mix
 from refmill.llm.names import link_names, name_mentions
@@ -23,11 +23,12 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).where("match").select("citation_id", "candidate_id")
+    return _linked(spark, sf_dir).where(f"confidence >= {SURE}").select("citation_id", "candidate_id")
 
 
 def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).where("match").select("citation_id", "candidate_id", "confidence")
+    """Every pair that was judged, those below a match too."""
+    return _linked(spark, sf_dir)
 
 
 def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
