@@ -2,8 +2,9 @@
 
 The grammar, its alternatives tried in the order written, going back on failure:
 
-    value     <- listed / sequence
+    value     <- listed / enclosed / sequence
     listed    <- '[' quoted (',' quoted)* ']' END
+    enclosed  <- '[' sequence ']' END, where a separator stands inside and no bracket does
     sequence  <- piece (separator piece)*
     piece     <- quoted &(separator / END) / bracketed &(separator / END) / bare
     quoted    <- '"' ('""' / escape / [^"])* '"'
@@ -34,6 +35,7 @@ _QUOTED = re.compile(r'"((?:[^"\\]|""|\\.)*)"')
 _BY_QUOTE = re.compile(r"\0\s*,\s*\S|,\s*\0")
 _BRACKETED = re.compile(r"\[([^\[\]]*)\]|\(([^()]*)\)|\{([^{}]*)\}")
 _ESCAPE = re.compile(r'\\(["\\/])')
+_ENCLOSED = re.compile(r"\[([^\[\]]*)\]\s*$|\(([^()]*)\)\s*$|\{([^{}]*)\}\s*$")
 _LISTED = re.compile(r'\s*\[\s*(?:"(?:[^"\\]|""|\\.)*"\s*(?:,\s*|(?=\])))+\]\s*$')
 #: Words that mark a corporate author.
 _BODY_WORDS = (
@@ -56,6 +58,11 @@ def _unquote(inner: str) -> str:
     return _ESCAPE.sub(r"\1", inner.replace('""', '"')).strip()
 
 
+def _without_stray(value: str) -> str:
+    """value without a quote at one end that has no partner at the other."""
+    return value.strip('"').strip() if (value[:1] == '"') != (value[-1:] == '"') else value
+
+
 def _is_full(piece: str) -> bool:
     """Whether a piece between commas is a whole name: given name first, or a surname with bare initials after it."""
     words = piece.split()
@@ -124,8 +131,8 @@ def _pieces(text: str, separator: re.Pattern, comma_too: bool) -> Iterator[tuple
 def parse_packed(text: str, kind: str) -> tuple[tuple[str, str], ...]:
     """(value, error flag) of each value packed in text, in order, empty ones dropped.
 
-    The flag is "" or malformed_quote (a quote that never closes, or closes inside a value; the text is
-    kept as it stands) or malformed_list (brackets around something that isn't a list of quoted values).
+    The flag is "" or malformed_quote (a quote that never closes, or closes inside a value: a quote at one end of a bare
+    value is taken off, one inside stays) or malformed_list (brackets around something that isn't a list of quoted values).
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind of packed field: {kind}")
@@ -137,7 +144,11 @@ def parse_packed(text: str, kind: str) -> tuple[tuple[str, str], ...]:
     flag = ""
     if text[0] == "[" and text[-1] == "]" and '"' in text:
         text, flag = text[1:-1].strip(), "malformed_list"
-    separator = {"codes": _CODE_SEPARATOR, "messages": _MESSAGE_SEPARATOR, "names": _NAME_SEPARATOR}[kind]
+    parts_at = {"codes": _CODE_SEPARATOR, "messages": _MESSAGE_SEPARATOR, "names": _NAME_SEPARATOR}[kind]
+    enclosed = _ENCLOSED.match(text)
+    if enclosed and (inner := next(g for g in enclosed.groups() if g is not None).strip()) and parts_at.search(inner) and '"' not in inner:
+        text = inner
+    separator = parts_at
     if kind == "names" and _BODY.search(text) and not re.search(r"[;|\t\r\n\"]", text):
         return ((text, flag),) if text.strip(", ") else ()
     commas_separate = kind == "names" and '"' in text and bool(_BY_QUOTE.search(_QUOTED.sub("\0", text)))
@@ -152,7 +163,7 @@ def parse_packed(text: str, kind: str) -> tuple[tuple[str, str], ...]:
             values = [value.strip("[](){}")]
         else:
             values = [value.strip(" ,")] if kind == "names" else [value]
-        out += [(v, "malformed_quote" if k == "stray" else flag) for v in (x.strip() for x in values) if v]
+        out += [(v, "malformed_quote" if k == "stray" else flag) for v in (_without_stray(x.strip()) if k == "stray" else x.strip() for x in values) if v]
     return tuple(out)
 
 
