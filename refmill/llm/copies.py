@@ -18,24 +18,27 @@ _BEFORE_NUMBERS = frozenset(("vol", "volume", "no", "nr", "number", "issue", "is
 _NO_DATE = "nd"
 #: Parts by which rows of one form are spread when rows and forms are joined, so that a hot form isn't one task.
 SALT = 8
-#: Steps after which the comparison of two texts gives up and calls them different.
-_STEPS = 400
 
 
 def atoms(text: str) -> tuple[str, bytearray, bytearray]:
-    """(letters and digits in sequence, whether something stood before each, whether a dash did); one mark more for the end."""
+    """(letters and digits in sequence, what stood before each: 2 for what may part fields, 1 for a mere blank, whether a dash did); one mark more for the end.
+
+    Fields are parted by a mark, by several blanks, or by a blank beside a number.
+    """
     out: list[str] = []
-    edge, dash = bytearray(b"\1"), bytearray(b"\0")
+    edge, dash = bytearray(b"\2"), bytearray(b"\0")
     for ch in plain(unescape(text)):
         if ch.isalnum():
+            if edge[-1] == 1 and out and (ch.isdigit() or out[-1].isdigit()):
+                edge[-1] = 2
             out.append(ch)
             edge.append(0)
             dash.append(0)
         else:
-            edge[len(out)] = 1
+            edge[-1] = min(2, edge[-1] + 1) if ch.isspace() else 2
             if ch == "-":
-                dash[len(out)] = 1
-    edge[len(out)] = 1
+                dash[-1] = 1
+    edge[-1] = 2
     return "".join(out), edge, dash
 
 
@@ -47,53 +50,79 @@ def _may_stand_alone(block: str) -> bool:
 def same_fields(left: str, right: str) -> bool:
     """Whether two texts hold the same fields, agreeing in letters and digits, perhaps in another order.
 
-    right is cut into blocks, each a run of left between two places where both texts have something other than
-    a letter or digit, used once; the longest block that fits goes first, going back where the rest won't fit.
+    right is cut into blocks, each a run of left, used once, that lies between blanks or marks in both texts and between
+    two places that may part fields in one of them; the longest block that fits goes first, going back where the rest won't fit, and no state is tried twice.
     A block must be able to be a field: a word put before a number isn't one. Two short numbers side by side in
     both texts, but the other way round, are a volume and an issue swapped: another reference.
     """
     a, edge_a, dash_a = atoms(left)
-    b, edge_b, dash_b = atoms(right)
+    b, edge_b, _ = atoms(right)
     if a == b:
         return True
     if len(a) != len(b):
         return False
-    n, used, blocks, steps = len(a), bytearray(len(a)), [], 0
+    n, used = len(a), bytearray(len(a))
 
     def options(j: int) -> list[tuple[int, int]]:
         found = []
         p = a.find(b[j])
         while p >= 0:
             if edge_a[p] and not used[p]:
-                k, best = 0, 0
+                k, best, whole_a, whole_b = 0, 0, edge_a[p] == 2, edge_b[j] == 2
                 while j + k < n and p + k < n and not used[p + k] and a[p + k] == b[j + k]:
                     k += 1
-                    if edge_a[p + k] and edge_b[j + k] and _may_stand_alone(b[j : j + k]):
+                    ea, eb = edge_a[p + k], edge_b[j + k]
+                    if ea and eb and (whole_a and ea == 2 or whole_b and eb == 2) and _may_stand_alone(b[j : j + k]):
+                        if best:
+                            found.append((best, p))
                         best = k
-                        if k < 4:
-                            found.append((k, p))
-                if best >= 4:
+                if best:
                     found.append((best, p))
             p = a.find(b[j], p + 1)
-        return sorted(set(found), reverse=True)
-
-    def fits(j: int) -> bool:
-        nonlocal steps
-        if j == n:
-            return not _swapped(blocks, a, dash_a)
-        steps += 1
-        if steps > _STEPS:
-            return False
-        for k, p in options(j):
+        # of equal blocks the first unused will do
+        first = {k: p for k, p in sorted(set(found), key=lambda x: -x[1])}
+        return sorted(first.items())
+
+    def can_end() -> bool:
+        """Whether blocks can reach the end of right, leaving aside that each run of left is used once."""
+        was, used[:] = bytes(used), bytes(n)
+        reached, ends = {0}, [0]
+        while ends:
+            j = ends.pop()
+            new = {j + k for k, _ in options(j)} - reached if j < n else set()
+            reached |= new
+            ends += new
+        used[:] = was
+        return n in reached
+
+    failed: set[tuple[int, bytes]] = set()
+    blocks: list[tuple[int, int]] = []
+    open_ = [options(0)]
+    at = 0
+    while open_:
+        if at == n:
+            if not _swapped(blocks, a, dash_a):
+                return True
+        elif open_[-1]:
+            k, p = open_[-1].pop()
             used[p : p + k] = b"\1" * k
+            if at + k < n and (at + k, bytes(used)) in failed:
+                used[p : p + k] = bytes(k)
+                continue
             blocks.append((p, k))
-            if fits(j + k):
-                return True
-            blocks.pop()
+            at += k
+            open_.append(options(at) if at < n else [])
+            continue
+        else:
+            if not failed and not can_end():
+                return False
+            failed.add((at, bytes(used)))
+        open_.pop()
+        if blocks:
+            p, k = blocks.pop()
             used[p : p + k] = bytes(k)
-        return False
-
-    return fits(0)
+            at -= k
+    return False
 
 
 def _swapped(blocks: list[tuple[int, int]], a: str, dash: bytearray) -> bool:

@@ -41,28 +41,52 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settles the few units left so that the sum of sizes comes nearest to what it should be."""
+    """Settles the few units left so that the sum of sizes and their number come nearest to what they should be."""
     out, open_ = p.copy(), [i for i in range(len(p)) if 0 < p[i] < 1]
-    want = float((p * size).sum())
+    want, number = float((p * size).sum()), float(p.sum())
+    usual = float(size.mean()) or 1.0
     best = None
     for code in range(1 << len(open_)):
         trial = p.copy()
         for n, i in enumerate(open_):
             trial[i] = code >> n & 1
-        off = abs(float((trial * size).sum()) - want)
+        off = abs(float((trial * size).sum()) - want) / usual + abs(float(trial.sum()) - number)
         if best is None or off < best:
             best, out = off, trial
     return out
 
 
-def _fly(rows: DataFrame, last: bool) -> DataFrame:
+def rates(sources: list[tuple[str, float, int, int]], total: float) -> dict[str, float]:
+    """How often on average each source (name, target share, most repeats, tokens) is used, so that together they give total.
+
+    A source too small for its share is used its most; what it can't give is asked of the others in proportion to their
+    shares, until all is given or nothing is left to ask.
+    """
+    out = {s: 0.0 for s, _, _, _ in sources}
+    open_ = [x for x in sources if x[1] > 0 and x[2] > 0 and x[3] > 0]
+    left = total
+    while open_ and left > 0:
+        shares = sum(x[1] for x in open_)
+        small = [x for x in open_ if x[2] * x[3] <= left * x[1] / shares]
+        for s, share, most, tokens in small or open_:
+            out[s] = float(most) if small else left * share / shares / tokens
+        if not small:
+            break
+        left -= sum(x[2] * x[3] for x in small)
+        open_ = [x for x in open_ if x not in small]
+    return out
+
+
+def _fly(rows: DataFrame, last: bool, blocks: int) -> DataFrame:
     def run(key, pdf):
         pdf = pdf.sort_values("k")
         p = flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(float), np.random.default_rng([len(pdf), int(key[1])]))
         pdf["pi"] = landing(p, pdf["size"].to_numpy(float)) if last else p
         return pdf
 
-    return rows.groupBy("source", "block").applyInPandas(run, "k bigint, source string, size bigint, base int, pi double, block int")
+    # as many tasks as blocks: small as they are in bytes, they are long in work, and would be put together
+    spread = rows.repartition(max(1, min(blocks, 100_000)), "source", "block")
+    return spread.groupBy("source", "block").applyInPandas(run, "k bigint, source string, size bigint, base int, pi double, block int")
 
 
 def mix(df: DataFrame, key: str, source: str, size: str, targets: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +94,7 @@ def mix(df: DataFrame, key: str, source: str, size: str, targets: DataFrame, tot
 
     targets has source, target_share and max_repeats, one row per source and few of them. Each source is to give its
     share of `total` (by default the size of the whole corpus); a source too small for it is used max_repeats times
-    over, no more. Every document is used a whole number of times, the floor of its source's rate, and once more with
+    over, no more, and what it can't give is spread over the others. Every document is used a whole number of times, the floor of its source's rate, and once more with
     the remaining probability, by balanced sampling on the number of documents and their sizes: in blocks first, then
     among the few left open by each. Documents of a source without a target, and of null source, are left out;
     documents of size 0 or null count as size 0. Nulls and ties are settled by the order of the hash of the key.
@@ -78,26 +102,21 @@ def mix(df: DataFrame, key: str, source: str, size: str, targets: DataFrame, tot
     docs = df.select(F.col(key).alias("k"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"))
     docs = cut(docs)
     have = docs.groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    goal = F.lit(total) if total is not None else F.lit(docs.agg(F.sum("size")).first()[0] or 0)
-    plan = (
-        targets.select("source", "target_share", "max_repeats")
-        .join(have, "source")
-        .withColumn("rate", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), goal * F.col("target_share") / F.col("tokens"))).otherwise(F.lit(0.0)))
-        .withColumn("base", F.floor("rate").cast("int"))
-        .withColumn("frac", F.col("rate") - F.col("base"))
-        .withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    )
-    rows = docs.join(F.broadcast(plan.select("source", "base", "frac", "blocks")), "source").select(
-        "k", "source", "size", "base", F.col("frac").alias("pi"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block")
-    )
-    flown = cut(_fly(rows, False))
+    # one row per source: as few as targets
+    known = targets.select("source", "target_share", "max_repeats").join(have, "source").orderBy("source").collect()
+    whole = total if total is not None else docs.agg(F.sum("size")).first()[0] or 0
+    rate = rates([(r.source, float(r.target_share or 0), int(r.max_repeats or 0), int(r.tokens)) for r in known], float(whole))
+    made = [(r.source, int(rate[r.source]), rate[r.source] - int(rate[r.source]), -(-int(r.n) // BLOCK)) for r in known]
+    plan = df.sparkSession.createDataFrame(made, "source string, base int, frac double, blocks int")
+    rows = docs.join(F.broadcast(plan), "source").select("k", "source", "size", "base", F.col("frac").alias("pi"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
+    flown = cut(_fly(rows, False, sum(m[3] for m in made)))
     settled = flown.where("pi = 0 or pi = 1")
     left = flown.where("pi > 0 and pi < 1")
     # each block leaves two documents at most: some rounds more, and all of a source stand in one block
     while True:
         most = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         blocks = max(1, -(-most // BLOCK))
-        again = cut(_fly(left.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")), blocks == 1))
+        again = cut(_fly(left.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")), blocks == 1, blocks * len(made)))
         settled = settled.unionByName(again.where("pi = 0 or pi = 1"))
         if blocks == 1:
             break

@@ -117,7 +117,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    areas = sorted(r.subject for r in table(spark, sf_dir, "subject_areas").select("subject").distinct().limit(1000).collect())
+    areas = sorted(r.subject for r in table(spark, sf_dir, "subject_areas").select("subject").where("subject is not null").distinct().collect())
     model = train(docs, table(spark, sf_dir, "subject_labels"), areas, "doc_id", "text", "source")
     return subjects_of(docs, model, "doc_id", "text", "source")
 

@@ -15,10 +15,10 @@ from refmill.llm.text import fold
 
 #: Labelled documents the model is fitted on, at most (those whose ids hash lowest), and terms it keeps.
 SAMPLE, TERMS = 5_000, 60_000
-#: Share of a document's sentences about a subject that makes it one of the document's, and the most it may have.
-SHARE, MOST = 1 / 3, 2
-#: Width of the beam, and rounds of fitting.
-BEAM, ROUNDS = 6, 300
+#: Subjects a document has at most; shares of its sentences about a subject at which the odds may step.
+MOST, STEPS = 2, (0.15, 0.25, 0.3, 0.35, 0.45, 0.6)
+#: Width of the beam, rounds of fitting at most, and folds by which the chain is calibrated.
+BEAM, ROUNDS, FOLDS = 6, 60, 4
 #: Headings that open a reference list.
 _LIST = re.compile(r"^\W*(?:\d+\.?\s*)?(references|reference list|bibliography|works cited|literature|literatur|literaturverzeichnis|quellen|referencias|bibliografia)\W*$", re.IGNORECASE)
 _END = re.compile(r"(?<=[.!?])\s+")
@@ -43,32 +43,72 @@ def terms(sentence: str) -> list[str]:
 
 
 class Chain:
-    """Term weights by subject, and for each subject in turn a logistic model of the shares and of the subjects before it."""
+    """Term weights by subject, and for each subject in turn a logistic model of the shares, the structure, the source and the subjects before it, calibrated on documents held out of the fit."""
 
     def __init__(self, docs: list[tuple[str, list[str], str]], subjects: list[str]):
-        self.subjects = subjects
-        at = {s: i for i, s in enumerate(subjects)}
+        self.subjects, self.calibration = subjects, (1.0, 0.0)
+        parsed = [([set(terms(s)) for s in sentences(t)], labels, source) for t, labels, source in docs]
+        self.sources = {s: i for i, s in enumerate(sorted({source for _, _, source in docs}))}
+        y = np.array([[s in labels for s in subjects] for _, labels, _ in docs], float).reshape(len(docs), len(subjects))
+        # the most frequent subjects come first, so that the rarer ones lean on them
+        self.order = [int(i) for i in np.argsort(-y.sum(0), kind="stable")]
+        self.held_out = self._calibrate(parsed, y)
+        self._learn(parsed, y)
+
+    def _calibrate(self, parsed: list, y: np.ndarray) -> tuple[int, int, int]:
+        """Fits the chain on all folds but one in turn and learns from the one left out how far its odds can be trusted. (pairs of document and subject, those given, those right) of the folds left out."""
+        odds, truth, tests = [], [], []
+        for fold in range(FOLDS if len(parsed) >= 10 * FOLDS else 0):
+            out = np.arange(len(parsed)) % FOLDS == fold
+            self._learn([p for p, o in zip(parsed, out) if not o], y[~out])
+            x = np.array([self.features([{w for w in s if w in self.weights} for s in p[0]], p[2]) for p, o in zip(parsed, out) if o])
+            for n, s in enumerate(self.order):
+                odds.append(self._row(x, s, y[out][:, self.order[:n]]) @ self.models[n])
+                truth.append(y[out][:, s])
+            tests.append((x, y[out]))
+        if odds:
+            z, t = np.clip(np.concatenate(odds), -30, 30), np.concatenate(truth)
+            a, b = 1.0, 0.0
+            for _ in range(200):
+                p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+                w = p * (1 - p) + 1e-6
+                g, h = np.array([((p - t) * z).sum(), (p - t).sum()]), np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
+                step = np.clip(np.linalg.solve(h, g + np.array([1e-2 * (a - 1), 1e-2 * b])), -0.5, 0.5)
+                a, b = a - step[0], b - step[1]
+                if np.abs(step).max() < 1e-8:
+                    break
+            self.calibration = (float(a), float(b))
+        given = right = 0
+        for fold, (x, t) in enumerate(tests):
+            out = np.arange(len(parsed)) % FOLDS == fold
+            self._learn([p for p, o in zip(parsed, out) if not o], y[~out])
+            for row, labels in zip(x, t):
+                found = [self.subjects.index(s) for s in self.decode(row)] if row[: len(self.subjects)].any() else []
+                given += len(found)
+                right += int(sum(labels[s] for s in found))
+        return int(sum(t.sum() for _, t in tests)), given, right
+
+    def _learn(self, parsed: list, y: np.ndarray) -> None:
+        subjects = self.subjects
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(subjects)))
-        parsed = [[set(terms(s)) for s in sentences(t)] for t, _, _ in docs]
         of = np.zeros(len(subjects))
-        for (_, labels, _), parts in zip(docs, parsed):
-            if len(labels) == 1:
-                of[at[labels[0]]] += 1
+        for (parts, labels, _), row in zip(parsed, y):
+            if row.sum() == 1:
+                s = int(row.argmax())
+                of[s] += 1
                 for w in set().union(*parts) if parts else ():
-                    counts[w][at[labels[0]]] += 1
+                    counts[w][s] += 1
         rate = {w: (c + 0.05) / (of + 1.0) for w, c in counts.items() if c.sum() >= 2}
         keep = sorted(rate, key=lambda w: -(rate[w].max() / rate[w].sum()) * np.log1p(counts[w].sum()))[:TERMS]
         # a term speaks for a subject if most of its documents, each subject taken as equally frequent, are of it
         self.weights = {w: (int(rate[w].argmax()), float(np.log(rate[w].max() / (rate[w].sum() - rate[w].max() + 1e-9)))) for w in keep if rate[w].max() / rate[w].sum() > 0.6}
-        x = np.array([self.features(parts, source) for parts, (_, _, source) in zip(parsed, docs)]) if docs else np.zeros((0, len(subjects) + 11))
-        y = np.array([[s in labels for s in subjects] for _, labels, _ in docs], float).reshape(len(docs), len(subjects))
-        # the most frequent subjects come first, so that the rarer ones lean on them
-        self.order = [int(i) for i in np.argsort(-y.sum(0), kind="stable")]
+        x = np.array([self.features(parts, source) for parts, _, source in parsed]) if parsed else np.zeros((0, len(subjects) + 3 + len(self.sources)))
         self.models = [self._fit(x, y, n) for n in range(len(subjects))]
 
     def features(self, parts: list[set[str]], source: str) -> np.ndarray:
         """For each subject its share of the sentences about any, the number of those, whether there are any, and the source."""
-        votes = np.zeros(len(self.subjects))
+        k = len(self.subjects)
+        votes = np.zeros(k)
         for found in parts:
             score: Counter = Counter()
             for w in found:
@@ -80,43 +120,49 @@ class Chain:
                 if best > 1.0:
                     votes[s] += 1
         total = votes.sum()
-        out = np.zeros(len(self.subjects) + 11)
+        out = np.zeros(k + 3 + len(self.sources))
         if total:
-            out[: len(self.subjects)] = votes / total
-        out[-11] = min(3.0, np.log1p(total))
-        out[-10] = total > 1
-        out[-9] = min(1.0, total / max(1, len(parts)))
-        out[-8 + sum(map(ord, source or "")) % 8] = 1.0
+            out[:k] = votes / total
+        out[k : k + 3] = min(3.0, np.log1p(total)), total > 1, min(1.0, total / max(1, len(parts)))
+        if source in self.sources:
+            out[k + 3 + self.sources[source]] = 1.0
         return out
 
     def _row(self, x: np.ndarray, subject: int, before: np.ndarray) -> np.ndarray:
         share = x[..., subject : subject + 1]
-        return np.concatenate([np.ones_like(share), share, (share >= SHARE - 0.03) * 1.0, np.minimum(share, 0.5), x[..., -11:-8], x[..., -8:], before], -1)
+        # besides the share, whether it passes each of a few steps: where the line runs is learned
+        return np.concatenate([np.ones_like(share), share, *((share >= step) * 1.0 for step in STEPS), x[..., len(self.subjects) :], before], -1)
 
     def _fit(self, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
         s, earlier = self.order[n], self.order[:n]
         a = self._row(x, s, y[:, earlier])
         w = np.zeros(a.shape[1])
-        w[:4] = (-4.0, 4.0, 3.0, 2.0)  # the stated rule, from which the labels move it
+        w[0] = -4.0
         if not len(a):
             return w
-        prior = w.copy()
         for _ in range(ROUNDS):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            w -= 0.5 * (a.T @ (p - y[:, s]) / len(a) + 0.002 * (w - prior))
+            h = (a * (p * (1 - p))[:, None]).T @ a / len(a) + 0.002 * np.eye(len(w))
+            step = np.linalg.solve(h, a.T @ (p - y[:, s]) / len(a) + 0.002 * w)
+            # where the fit is nearly sure the curve is flat and a full step would overshoot
+            step = step * min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
+            w = w - step
+            if np.abs(step).max() < 1e-6:
+                break
         return w
 
     def decode(self, x: np.ndarray) -> list[str]:
-        """The likeliest set of at most MOST subjects, none with less than about its share."""
+        """The likeliest set of at most MOST subjects by calibrated odds."""
+        a, b = self.calibration
         beam = [(0.0, np.zeros(0), ())]
         for n, s in enumerate(self.order):
             wider = []
             for score, before, chosen in beam:
-                z = float(np.clip(self._row(x, s, before) @ self.models[n], -30, 30))
+                z = float(np.clip(a * (self._row(x, s, before) @ self.models[n]) + b, -30, 30))
                 wider.append((score - np.log1p(np.exp(z)), np.append(before, 0.0), chosen))
-                if len(chosen) < MOST and x[s] >= SHARE - 0.05:
+                if len(chosen) < MOST:
                     wider.append((score - np.log1p(np.exp(-z)), np.append(before, 1.0), (*chosen, s)))
-            beam = sorted(wider, key=lambda b: -b[0])[:BEAM]
+            beam = sorted(wider, key=lambda v: -v[0])[:BEAM]
         return [self.subjects[s] for s in beam[0][2]]
 
 

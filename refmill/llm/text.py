@@ -73,24 +73,30 @@ def _stands_in(ch: str) -> bool:
     return bool(to) and " " not in to  # a singleton, as the Kelvin sign
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str, table: dict[str, str] | None = None) -> str:
     """The confusables skeleton: decompose, replace every character by its prototype, decompose again.
 
     Texts of the same look have equal skeletons: full-width forms, ligatures, decomposed accents, look-alike
-    letters, unseen characters, blanks and quotes of other kinds. Plain ASCII is its own skeleton. A blank
-    stays a blank: runs of blanks and line ends are left to whoever compares.
+    letters, unseen characters, blanks and quotes of other kinds. table gives prototypes beyond the few letters
+    known here, those of ASCII too. A blank stays a blank: runs of blanks and line ends are left to whoever compares.
     """
-    if text.isascii():
-        return text
     parts = unicodedata.normalize("NFKD", text)
-    return unicodedata.normalize("NFKD", "".join(map(_prototype, parts)))
+    if table is None:
+        return text if text.isascii() else unicodedata.normalize("NFKD", "".join(map(_prototype, parts)))
+    return unicodedata.normalize("NFKD", "".join("" if is_unseen(ch) else " " if ch.isspace() else table.get(ch) or PUNCTUATION.get(ch) or ch for ch in parts))
+
 
+def plainly(text: str, table: dict[str, str]) -> str:
+    """text as its skeleton would be if it held nothing but plain characters: decomposed, with the prototypes of ASCII only."""
+    return "".join(" " if ch in " \t\n\v\f\r" else table.get(ch, ch) if ch < "\x80" else ch for ch in unicodedata.normalize("NFD", text))
 
-def standins(text: str) -> list[int]:
+
+def standins(text: str, table: dict[str, str] | None = None) -> list[int]:
     """The places, from 0, of characters of text that stand in for a plain one of the same look or can't be seen.
 
     Look-alike letters count in a word that mixes scripts, and in a word wholly of look-alikes among words of
-    another script; words written in their own script don't count, nor a Greek letter before a hyphen.
+    another script; words written in their own script don't count, nor a Greek letter before a hyphen. table gives
+    more look-alikes for words that mix scripts; Latin letters count in a word mostly of another script.
     A combining mark counts if it and the letter before it have one whole character for both.
     """
     if text.isascii():
@@ -99,15 +105,24 @@ def standins(text: str) -> list[int]:
     for i in range(1, len(text)):
         if unicodedata.combining(text[i]) and len(unicodedata.normalize("NFC", text[i - 1 : i + 1])) == 1:
             found.add(i)
-    if any(ch in LOOKALIKES for ch in text):
+    if any(script(ch) not in ("latin", "") for ch in text):
         # words are read without unseen characters, marks and compatibility forms
         seen = [(i, c) for i, ch in enumerate(text) if not is_unseen(ch) for c in unicodedata.normalize("NFKC", ch) if not unicodedata.combining(c)]
         plain = "".join(c for _, c in seen)
         words = [(m.start(), m.group(), {script(c) for c in m.group()} - {""}) for m in _WORD.finditer(plain)]
         lettered = [w for w in words if w[2]]
         for n, (at, word, scripts) in enumerate(lettered):
+            if scripts == {"latin"}:
+                continue
+            if len(scripts) > 1 and "latin" in scripts:
+                alike = [k for k, c in enumerate(word) if script(c) not in ("latin", "") and (c in LOOKALIKES or table and table.get(c, c).isascii())]
+                if not alike:
+                    foreign = sum(script(c) not in ("latin", "") for c in word)
+                    alike = [k for k, c in enumerate(word) if script(c) == "latin" and c in _LATIN] if 2 * foreign > len(word) else []
+                found |= {seen[at + k][0] for k in alike}
+                continue
             alike = [k for k, c in enumerate(word) if c in LOOKALIKES and script(c) not in ("latin", "")]
-            if not alike or scripts == {"latin"}:
+            if not alike:
                 continue
             if len(scripts) == 1:
                 if len(alike) < sum(c.isalpha() for c in word):
@@ -122,6 +137,9 @@ def standins(text: str) -> list[int]:
     return sorted(found)
 
 
+_LATIN = frozenset(LOOKALIKES.values())
+
+
 def unescape(text: str) -> str:
     """text with HTML entities resolved, also those written twice over or in full-width characters."""
     if "\uff06" in text:

@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refmill.session import cut
+
 TOKENIZER_DIR = "/opt/tokenizers"
-#: Characters of a chunk, and of the overlap read on either side of it to find where boundaries agree.
-CHUNK, OVERLAP = 65_536, 2_048
+#: Characters of a chunk, of the overlap read on either side of it to find where boundaries agree, and of a text whose
+#: chunks are spread over the tasks instead of being encoded one after the other.
+CHUNK, OVERLAP, SPREAD = 2_048, 256, 1 << 20
 #: Characters before the end of a window in which a pre-token may be read wrongly: those of the longest fixed one, and one more.
 EDGE = 4
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
@@ -68,31 +71,49 @@ def encode_chunk(text: str, begin: int, end: int, first: bool, last: bool, path:
     return start, stop, encoder(path).encode_ordinary(text[start:stop])
 
 
-def encode_texts(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, chunk: int = CHUNK) -> DataFrame:
+def encode_overlapped(text: str, path: str, chunk: int) -> list[int]:
+    """The ids of a text, chunk by chunk, stitched where the boundaries of neighbours agree; of the whole where they don't."""
+    if len(text) <= chunk:
+        return encoder(path).encode_ordinary(text)
+    ids: list[int] = []
+    at = 0
+    for begin in range(0, len(text), chunk):
+        left, last = max(0, begin - OVERLAP), begin + chunk >= len(text)
+        window = text[left : begin + chunk + OVERLAP]
+        start, stop, got = encode_chunk(window, begin - left, len(window) if last else begin - left + chunk, begin == 0, last, path)
+        if start is None or left + start != at:
+            return encoder(path).encode_ordinary(text)
+        ids += got
+        at = left + stop
+    return ids
+
+
+def encode_texts(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, chunk: int = CHUNK, spread: int = SPREAD) -> DataFrame:
     """(key, ids array<int>) for every row of df, ids being those of text without special tokens.
 
-    Empty and null texts have the empty array. Texts up to `chunk` characters are encoded where they lie.
-    Longer ones are cut into overlapping chunks, spread over the tasks, pre-tokenised from an arbitrary start and
-    stitched where the boundaries of neighbours agree; a text whose chunks don't join end to start (say, a
-    run of one character longer than the overlap) is encoded whole, so the result never depends on the cutting.
+    Empty and null texts have the empty array. Texts longer than `chunk` characters are cut into overlapping chunks,
+    pre-tokenised from an arbitrary start and stitched where the boundaries of neighbours agree: where they lie, or, if
+    longer than `spread`, spread over the tasks. A text whose chunks don't join end to start (say, a run of one
+    character longer than the overlap) is encoded whole, so the result never depends on the cutting.
     Decoding joins the bytes of the ids. Rows of equal key each give their own row; other columns play no part.
     """
     path = f"{folder}/{name}.tiktoken"
     key_type = df.select(key).schema[0].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [enc.encode_ordinary(t) for t in part.column(1).to_pylist()]
+                ids = [encode_overlapped(t, path, chunk) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["k", "ids"])
 
-    out = f"k {key_type}, ids array<int>"
-    short = rows.where(F.length("t") <= chunk).mapInArrow(whole, out)
-    long = rows.where(F.length("t") > chunk).withColumn("row", F.monotonically_increasing_id())
-    return short.unionByName(_encode_long(long, key_type, path, chunk)).select(F.col("k").alias(key), "ids")
+    short = rows.where(F.length("t") <= spread).mapInArrow(encode, f"k {key_type}, ids array<int>")
+    # written, so that a row keeps its number in both readings of the long texts
+    long = cut(rows.where(F.length("t") > spread).withColumn("row", F.monotonically_increasing_id()))
+    if not long.isEmpty():
+        short = short.unionByName(_encode_long(long, key_type, path, 32 * chunk))
+    return short.select(F.col("k").alias(key), "ids")
 
 
 def _encode_long(long: DataFrame, key_type: str, path: str, chunk: int) -> DataFrame:

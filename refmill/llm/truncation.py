@@ -26,15 +26,15 @@ FROM (SELECT inline(arrays_zip(a, b, c, d))
 WHERE c IS NOT NULL AND c <> '¦'
 """
 
-#: How often a run of three words (h, their hash; w2 and w3 empty) and of two (w2 and w3; h is 0) stands inside a clause
-#: (a word follows), at the end of one, and at the end of all. Both in one pass over the texts.
+#: How often a run of three words (h, the hash of the first two, and w3; w2 empty) and of two (w2 and w3; h is 0) stands
+#: inside a clause (a word follows), at the end of one, and at the end of all. Both in one pass over the texts.
 _RUNS = r"""
 SELECT h, w2, w3, count_if(inside) AS n_inside, count_if(NOT inside) AS n_end, count_if(last) AS n_last
-FROM (SELECT inside, last, stack(2, xxhash64(w1, w2, w3), '', '', 0L, w2, w3) AS (h, w2, w3) FROM {spots})
+FROM (SELECT inside, last, stack(2, xxhash64(w1, w2), '', 0L, w2) AS (h, w2), w3 FROM {spots})
 GROUP BY h, w2, w3
 """
-_TRIGRAMS = "SELECT h, n_inside AS t_inside, n_end AS t_end, n_end - n_last AS t_closed FROM {runs} WHERE w3 = ''"
-_PAIRS = "SELECT w2, w3, n_inside, n_end, n_last FROM {runs} WHERE w3 <> ''"
+_TRIGRAMS = "SELECT h, left(w3, 1) AS one, w3, n_inside, n_end, n_last FROM {runs} WHERE h <> 0"
+_PAIRS = "SELECT w2, w3, n_inside, n_end, n_last FROM {runs} WHERE h = 0"
 
 #: The last words of each value, and whether the text ends on a word, so that it may go on, or shows a mark of the cut.
 #: Words are taken from the last {tail} characters if those hold more than the three wanted, else from the whole text.
@@ -47,13 +47,24 @@ SELECT id, field, source, n, translate(element_at(c, -1), '¦', '') AS w3, trans
 FROM (SELECT id, field, source, text, n, if(n > {tail} AND size(tail_c) <= 4, c, tail_c) AS c FROM {words}) WHERE size(c) > 0
 """
 
-#: What the last trigram says: complete if it ends a clause before a mark elsewhere, and no more often goes on; going on if
-#: it almost never ends one. Ends of whole texts don't prove it complete: many may be cut at the same place.
+#: What the trigrams say of the last one of each value: how often it goes on and ends elsewhere, and how often a
+#: trigram stands elsewhere whose last word only begins with this one's: then the value ends in mid-word.
+_OF_TRIGRAM = r"""
+SELECT o.h, o.w3, sum(if(t.w3 = o.w3, n_inside, 0)) AS t_inside, sum(if(t.w3 = o.w3, n_end, 0)) AS t_end, sum(if(t.w3 = o.w3, n_end - n_last, 0)) AS t_closed,
+       sum(if(t.w3 <> o.w3, n_inside + n_end - n_last, 0)) AS t_longer
+FROM (SELECT DISTINCT xxhash64(w1, w2) AS h, left(w3, 1) AS one, w3 FROM {ends} WHERE on_word AND w3 <> '') o
+JOIN {trigrams} t ON o.h = t.h AND o.one = t.one AND startswith(t.w3, o.w3) GROUP BY o.h, o.w3
+"""
+
+#: The last trigram is complete if it ends a clause before a mark elsewhere, and no more often goes on; it goes on if
+#: it almost never ends one; it is cut in its last word if longer ones are far more frequent. Ends of whole texts
+#: don't prove it complete: many may be cut at the same place. Ends on numbers vary, so they count only if far rarer.
 _BY_TRIGRAM = r"""
-SELECT e.id, e.field, e.source, e.n, e.w2, e.w3, e.open_end, endswith(w3, '9') AS on_number, coalesce(t_inside, 0) AS t_inside, coalesce(t_end, 0) AS t_end,
+SELECT e.id, e.field, e.source, e.n, e.w2, e.w3, e.open_end, endswith(e.w3, '9') AS on_number, coalesce(t_inside, 0) AS t_inside, coalesce(t_end, 0) AS t_end,
   on_word AND NOT coalesce(t_closed > 0 AND t_end > t_inside, false) AS may_go_on,
-  CASE WHEN marked THEN 'mark' WHEN on_word AND NOT endswith(w3, '9') AND t_inside >= {often} AND t_inside >= {ratio} * t_end THEN 'goes_on' END AS reason
-FROM {ends} e LEFT JOIN {trigrams} t ON on_word AND xxhash64(e.w1, e.w2, e.w3) = t.h
+  CASE WHEN marked THEN 'mark' WHEN on_word AND NOT endswith(e.w3, '9') AND t_inside >= {often} AND t_inside >= {ratio} * t_end THEN 'goes_on'
+       WHEN on_word AND t_longer >= {seen} AND t_longer >= {ratio} * if(endswith(e.w3, '9'), {ratio}, 1) * (t_inside + t_closed) THEN 'part_of_word' END AS reason
+FROM {ends} e LEFT JOIN {of_trigram} t ON on_word AND xxhash64(e.w1, e.w2) = t.h AND e.w3 = t.w3
 """
 
 #: The ends on which more is to be found out, and of the pairs those that begin as one of them does.
@@ -90,9 +101,9 @@ SELECT e.id, e.field, e.source, e.n, e.open_end, e.may_go_on AND NOT e.on_number
   CASE
     WHEN e.reason IS NOT NULL OR NOT e.may_go_on THEN e.reason
     WHEN NOT on_number AND ((t_inside + t_end - 1 < {often} AND p_inside >= {often} AND p_inside >= {ratio} * p_end)
-      OR (coalesce(p_inside + p_end - 1, 0) < {often} AND v_inside >= {often} AND v_inside >= {ratio} * v_end)) THEN 'goes_on'
+      OR (coalesce(p_inside + p_end - 1, 0) < {often} AND v_inside >= {often} AND v_inside >= {ratio} * v_end)) THEN 'pair_goes_on'
     WHEN (p_longer >= {often} AND p_longer >= {ratio} * if(on_number, {ratio}, 1) * (p_inside + p_end))
-      OR (NOT on_number AND coalesce(v_inside + v_end, 0) <= coalesce(v_last, 0) AND v_longer >= 1) THEN 'part_of_word'
+      OR (NOT on_number AND coalesce(v_inside + v_end, 0) <= coalesce(v_last, 0) AND v_longer >= 1) THEN 'pair_part_of_word'
   END AS reason
 FROM {by_trigram} e LEFT JOIN {by_pair} p ON e.w2 = p.w2 AND e.w3 = p.w3 LEFT JOIN {by_word} v ON e.w3 = v.w3
 """
@@ -120,7 +131,8 @@ LEFT JOIN {open} o ON s.field = o.field
 """
 
 _RATES = r"""
-SELECT source, field, count(1) AS n_values, count(reason) AS n_cut, round(count(reason) / count(1), 6) AS share_cut
+SELECT source, field, count(1) AS n_values, count(reason) AS n_cut, round(count(reason) / count(1), 6) AS share_cut,
+       count_if(reason IN ('goes_on', 'part_of_word')) AS by_trigram, count_if(reason LIKE 'pair%') AS by_pair, count_if(reason = 'mark') AS by_mark, count_if(reason IN ('limit', 'open_end')) AS by_length
 FROM {found} GROUP BY source, field
 """
 
@@ -128,6 +140,8 @@ FROM {found} GROUP BY source, field
 TAIL = 120
 #: A trigram counts as seen if it stands so often in other places; going on is so many times as common as ending.
 OFTEN, RATIO = 3, 10
+#: A trigram with a longer last word counts if it stands so often in other places.
+SEEN = 1
 #: A limit has so many values, so many times those expected by the lengths beside it, of which this share is visibly cut.
 LEAST, TIMES, VISIBLY = 12, 4, 0.25
 #: Share of the open ends of a field that must be visibly cut for all of them to count.
@@ -137,7 +151,8 @@ NEARLY_ALL = 0.9
 def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
     """(id, field, source, reason) for every value of the named fields that isn't null or blank; reason is null where nothing was lost.
 
-    Reasons: mark, goes_on, part_of_word, limit, open_end. All counts are over all values of all fields. Nulls and blanks
+    Reasons: mark (of the cut); goes_on and part_of_word, by trigrams; pair_goes_on and pair_part_of_word, by pairs and words
+    where a trigram is too rare to tell; limit, open_end. All counts are over all values of all fields. Nulls and blanks
     give no row; a null source is a source of its own; texts of any length are read whole; equal rows each give
     their own; other columns of df play no part.
     """
@@ -148,7 +163,9 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFr
         values = part if values is None else values.unionByName(part)
     words = spark.sql(_VALUES, values=values, tail=TAIL)
     runs = cut(spark.sql(_RUNS, spots=spark.sql(_SPOTS, words=words)))
-    by_trigram = cut(spark.sql(_BY_TRIGRAM, ends=spark.sql(_ENDS, words=words, tail=TAIL), trigrams=spark.sql(_TRIGRAMS, runs=runs), often=OFTEN, ratio=RATIO))
+    ends = cut(spark.sql(_ENDS, words=words, tail=TAIL))
+    of_trigram = spark.sql(_OF_TRIGRAM, ends=ends, trigrams=spark.sql(_TRIGRAMS, runs=runs))
+    by_trigram = cut(spark.sql(_BY_TRIGRAM, ends=ends, of_trigram=of_trigram, often=OFTEN, seen=SEEN, ratio=RATIO))
     open_pairs = cut(spark.sql(_OPEN_PAIRS, by_trigram=by_trigram))
     pairs = spark.sql(_PAIRS, runs=runs)
     by_pair = spark.sql(_BY_PAIR, open_pairs=open_pairs, alike=spark.sql(_ALIKE, pairs=pairs, open_pairs=open_pairs))
@@ -160,5 +177,5 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFr
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:
-    """(source, field, n_values, n_cut, share_cut): how often each source cuts each field."""
+    """(source, field, n_values, n_cut, share_cut, by_trigram, by_pair, by_mark, by_length): how often each source cuts each field, and what told so."""
     return found.sparkSession.sql(_RATES, found=found)
