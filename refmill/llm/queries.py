@@ -127,4 +127,3 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_variants": p5_variants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
-ORACLES: dict[str, str] = {}

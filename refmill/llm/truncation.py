@@ -63,7 +63,7 @@ _BY_TRIGRAM = r"""
 SELECT e.id, e.field, e.source, e.n, e.w2, e.w3, e.open_end, endswith(e.w3, '9') AS on_number, coalesce(t_inside, 0) AS t_inside, coalesce(t_end, 0) AS t_end,
   on_word AND NOT coalesce(t_closed > 0 AND t_end > t_inside, false) AS may_go_on,
   CASE WHEN marked THEN 'mark' WHEN on_word AND NOT endswith(e.w3, '9') AND t_inside >= {often} AND t_inside >= {ratio} * t_end THEN 'goes_on'
-       WHEN on_word AND t_longer >= {seen} AND t_longer >= {ratio} * if(endswith(e.w3, '9'), {ratio}, 1) * (t_inside + t_closed) THEN 'part_of_word' END AS reason
+       WHEN on_word AND t_longer >= if(endswith(e.w3, '9'), {ratio}, {seen}) AND t_longer >= {ratio} * if(endswith(e.w3, '9'), {ratio}, 1) * (t_inside + t_closed) THEN 'part_of_word' END AS reason
 FROM {ends} e LEFT JOIN {of_trigram} t ON on_word AND xxhash64(e.w1, e.w2) = t.h AND e.w3 = t.w3
 """
 
