@@ -146,7 +146,7 @@ _ENTRIES = f"marked AS (SELECT *, sum(CASE WHEN s THEN 1 ELSE 0 END) OVER (PARTI
 @_query(f"WITH {_LINES}, {_SECTION}, {_ENTRIES} SELECT doc_id, entry, raw, repaired, lost FROM ent")
 def segment_entries(spark, d):
     """Entries before those merged in one are cut apart."""
-    return segment.entries(_sections(spark, d), ["doc_id"])
+    return segment.entries(_sections(spark, d), ["doc_id"]).withColumn("entry", F.col("entry").cast("bigint"))
 
 
 @_query()
@@ -158,7 +158,7 @@ def reference_entries(spark, d):
 
 @_query(f"WITH {_LINES}, {_SECTION}, {_ENTRIES} SELECT doc_id, entry, array_to_string({Q.flags('raw')}, '|') AS flags FROM ent")
 def entry_flags(spark, d):
-    return segment.entries(_sections(spark, d), ["doc_id"]).select("doc_id", "entry", F.array_join(P.diagnose(F.col("raw")), "|").alias("flags"))
+    return segment.entries(_sections(spark, d), ["doc_id"]).select("doc_id", F.col("entry").cast("bigint").alias("entry"), F.array_join(P.diagnose(F.col("raw")), "|").alias("flags"))
 
 
 #: Lines of a page in the queries that need pages: documents are cut as a print-out would be, with the repository's key
@@ -261,12 +261,12 @@ _COLS = "cols AS (SELECT *, count(*) FILTER (WHERE col = 'left') OVER (PARTITION
 
 @_query(f"WITH {_LAY}, {_SIDES}, {_COLS} SELECT doc, page, place, line_no, text FROM placed")
 def layout_order(spark, d):
-    return layout.reading_order(_layout(spark, d)).select("doc", "page", "place", "line_no", "text")
+    return layout.reading_order(_layout(spark, d)).select("doc", "page", F.col("place").cast("bigint").alias("place"), "line_no", "text")
 
 
 @_query(f"WITH {_LAY}, {_SIDES}, {_COLS} SELECT doc, page, place, abs(x0 - m) <= 2.8 AS hint FROM (SELECT *, min(CASE WHEN length(text) >= 3 THEN round(x0, 1) END) OVER (PARTITION BY doc, page, x0 < 306) AS m FROM placed)")
 def layout_hints(spark, d):
-    return layout.with_start_hints(layout.reading_order(_layout(spark, d))).select("doc", "page", "place", "hint")
+    return layout.with_start_hints(layout.reading_order(_layout(spark, d))).select("doc", "page", F.col("place").cast("bigint").alias("place"), "hint")
 
 
 @_query(f"WITH {_LAY} SELECT doc, page, line_no FROM layout_lines WHERE NOT (x1 - x0 < 612 * 0.04 AND y1 - y0 > 792 * 0.45) AND NOT regexp_matches(text, {Q.quoted(P.PUBLISHER)})")
@@ -415,7 +415,7 @@ def score_components(spark, d):
 @_query(f"WITH {_C}, {_P}, {_SEARCH} SELECT citation_id, provider, candidate_id, jaccard, place FROM search")
 def title_search(spark, d):
     c, p = _compared(spark, d)
-    return scoring.title_search(c, p, "citation_id", "candidate_id", ["provider"])
+    return scoring.title_search(c, p, "citation_id", "candidate_id", ["provider"]).withColumn("place", F.col("place").cast("bigint"))
 
 
 _RANKED = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY CASE WHEN early THEN provider_rank ELSE 0 END, overall DESC, provider_rank, candidate_id) AS r FROM (SELECT *, max(CASE WHEN provider_rank = 0 THEN overall END) OVER (PARTITION BY citation_id) >= 0.85 AS early FROM scored WHERE provider_rank IS NOT NULL AND provider_rank >= 0)) WHERE r = 1)"
