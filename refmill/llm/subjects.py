@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -65,7 +66,7 @@ class Chain:
             for n, s in enumerate(self.order):
                 odds.append(self._row(x, s, y[out][:, self.order[:n]]) @ self.models[n])
                 truth.append(y[out][:, s])
-            tests.append((x, y[out]))
+            tests.append((x, y[out], self.models))
         if odds:
             z, t = np.clip(np.concatenate(odds), -30, 30), np.concatenate(truth)
             a, b = 1.0, 0.0
@@ -79,14 +80,12 @@ class Chain:
                     break
             self.calibration = (float(a), float(b))
         given = right = 0
-        for fold, (x, t) in enumerate(tests):
-            out = np.arange(len(parsed)) % FOLDS == fold
-            self._learn([p for p, o in zip(parsed, out) if not o], y[~out])
+        for x, t, self.models in tests:
             for row, labels in zip(x, t):
                 found = [self.subjects.index(s) for s in self.decode(row)] if row[: len(self.subjects)].any() else []
                 given += len(found)
                 right += int(sum(labels[s] for s in found))
-        return int(sum(t.sum() for _, t in tests)), given, right
+        return int(sum(t.sum() for _, t, _ in tests)), given, right
 
     def _learn(self, parsed: list, y: np.ndarray) -> None:
         subjects = self.subjects
@@ -154,16 +153,23 @@ class Chain:
     def decode(self, x: np.ndarray) -> list[str]:
         """The likeliest set of at most MOST subjects by calibrated odds."""
         a, b = self.calibration
-        beam = [(0.0, np.zeros(0), ())]
-        for n, s in enumerate(self.order):
+        k, n_steps = len(self.subjects), len(STEPS)
+        share = x[self.order]
+        # what doesn't hang on the subjects taken before, for all subjects at once
+        first = np.array([m[: 2 + n_steps] for m in self.models])
+        rest = np.array([m[2 + n_steps : 2 + n_steps + len(x) - k] for m in self.models])
+        base = first[:, 0] + first[:, 1] * share + ((share[:, None] >= np.array(STEPS)) * first[:, 2:]).sum(1) + rest @ x[k:]
+        beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        for n in range(k):
+            earlier = self.models[n][2 + n_steps + len(x) - k :]
             wider = []
-            for score, before, chosen in beam:
-                z = float(np.clip(a * (self._row(x, s, before) @ self.models[n]) + b, -30, 30))
-                wider.append((score - np.log1p(np.exp(z)), np.append(before, 0.0), chosen))
-                if len(chosen) < MOST:
-                    wider.append((score - np.log1p(np.exp(-z)), np.append(before, 1.0), (*chosen, s)))
+            for score, taken in beam:
+                z = min(30.0, max(-30.0, a * (float(base[n]) + sum(float(earlier[t]) for t in taken)) + b))
+                wider.append((score - math.log1p(math.exp(z)), taken))
+                if len(taken) < MOST:
+                    wider.append((score - math.log1p(math.exp(-z)), (*taken, n)))
             beam = sorted(wider, key=lambda v: -v[0])[:BEAM]
-        return [self.subjects[s] for s in beam[0][2]]
+        return [self.subjects[self.order[t]] for t in beam[0][1]]
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, source: str) -> Chain:
