@@ -106,6 +106,18 @@ def test_linkage(spark):
     assert linkage.kinds_of(np.array([v, [-1] * 10])).argmax(1).tolist() == [4, 0]
 
 
+def test_linkage_sends_no_table_by_way_of_the_driver(spark, monkeypatch):
+    schema = "id long, title string, raw string, authors array<string>, year int, doi string, venue string"
+    side = lambda k: linkage.records(spark.createDataFrame([(1, "Quiet lakes under heavy snowfall", "", ["Lee, Ann"], 2020, "", "")], schema), k, "id", "title", "raw", "authors", "year", "doi", "venue")
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(linkage, "cut", lambda df, real=linkage.cut: plans.append(plan(df)) or real(df))
+    result = linkage.link(side("c"), side("p"))
+    assert [r.candidate_id for r in result.collect()] == [1]
+    # but for the patterns of votes, whose number is bounded
+    assert [p.count("BroadcastHashJoin") for p in [*plans, plan(result)]] == [0] * len(plans) + [1]
+
+
 def test_cube_keeps_both_sums():
     r = np.random.default_rng(3)
     pi, size = np.full(500, 0.37), r.integers(10, 900, 500).astype(float)
