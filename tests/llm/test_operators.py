@@ -84,6 +84,16 @@ def test_names(spark):
     assert names.link_names(mentions.limit(0), authority).count() == 0 and names.link_names(mentions, authority.limit(0)).count() == 0
 
 
+def test_names_send_no_table_by_way_of_the_driver(spark, monkeypatch):
+    authority = spark.createDataFrame([(1, "person", "Olslamavonis, Leonardo D.")], "entity_id long, entity_kind string, preferred_name string")
+    mentions = spark.createDataFrame([("x", 1, "authors", 1, "L. Olslamavonis")], "record_kind string, record_id long, field_name string, pos int, name string")
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(names, "cut", lambda df, real=names.cut: plans.append(plan(df)) or real(df))
+    result = names.link_names(mentions, authority)
+    assert [r.entity_id for r in result.collect()] == [1] and not any("BroadcastHashJoin" in p for p in [*plans, plan(result)])
+
+
 def test_label_model_finds_the_accurate_voters():
     r = np.random.default_rng(0)
     truth = r.random(4000) < 0.3
