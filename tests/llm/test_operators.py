@@ -84,6 +84,29 @@ def test_names(spark):
     assert names.link_names(mentions.limit(0), authority).count() == 0 and names.link_names(mentions, authority.limit(0)).count() == 0
 
 
+def test_names_meet_every_entity_they_may_stand_for(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abco") for _ in range(r.randint(1, 12)))
+    for _ in range(3000):
+        x = word()
+        w = list(x[: r.choice((len(x), r.randint(1, len(x))))])
+        for _ in range(r.randint(0, 2)):
+            i = r.randrange(len(w))
+            w[i : i + 1] = r.choice(([], [w[i], r.choice("abco")], [r.choice("abco")])) if r.random() < 0.7 else w[i : i + 2][::-1]
+            w = w or ["a"]
+        if r.random() < 0.3 and len(x) > 2:
+            w = [x[0], *(c for c in x[1:-1] if r.random() < 0.5), x[-1]]
+        w = "".join(w)
+        for kind, fits in (("p", names.near), ("t", names._word_fits)):
+            assert not fits(w, x) or names.name_keys(kind, w) & names.entity_keys(kind, x), (kind, w, x)
+    # a title of one word with a slip; a person whose rarest n-grams are those of a slip's surname, in a crowd of their own kind
+    people = [(1, "venue", "Glaciology"), (2, "person", "Morvandelik, Ann")] + [(10 + i, "person", f"{p}vandelik, Zoe") for i, p in enumerate(("Bor", "Cor", "Dor"))] + [(20, "person", "Xormand, Bo"), (21, "person", "Zuvxnde, Bo"), (22, "person", "Qaelxik, Bo")]
+    authority = spark.createDataFrame(people, "entity_id long, entity_kind string, preferred_name string")
+    rows = [("x", 1, "venue", 1, "Glaciolgy"), ("x", 2, "authors", 1, "Ann Morvxndelxik"), ("x", 3, "authors", 1, "Morvandelik, A.")]
+    mentions = spark.createDataFrame(rows, "record_kind string, record_id long, field_name string, pos int, name string")
+    assert {r.record_id: r.entity_id for r in names.link_names(mentions, authority).collect()} == {1: 1, 2: 2, 3: 2}
+
+
 def test_names_send_no_table_by_way_of_the_driver(spark, monkeypatch):
     authority = spark.createDataFrame([(1, "person", "Olslamavonis, Leonardo D.")], "entity_id long, entity_kind string, preferred_name string")
     mentions = spark.createDataFrame([("x", 1, "authors", 1, "L. Olslamavonis")], "record_kind string, record_id long, field_name string, pos int, name string")
