@@ -1,6 +1,11 @@
+import itertools
+import os
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from refmill.llm import copies, labelmodel, linkage, lookalike, mixing, names, overlap, subjects, text, tokens, truncation
 
@@ -209,3 +214,66 @@ def test_blocking_survives_damage_to_leading_words(spark):
 
 def test_reference_list_headings_with_accents():
     assert subjects.sentences("One.\n\nBibliografía\nTwo.") == ["One."]
+
+
+def _sets_one_by_one(hashes, shares, lead, expected, most, least):
+    out, n = set(), len(hashes)
+    sets = sorted((c for k in range(1, n + 1) for c in itertools.combinations(range(n), k)), key=len)
+    whole = lambda c: (lead + sum(hashes[i] for i in c)) % 2**64
+    few = {c for c in sets if len(c) >= least and expected * np.prod([shares[i] for i in c]) <= most}
+    out = {(c[0], whole(c)) for c in few if not any(c[:k] in few for k in range(1, len(c)))}
+    return out or ({(0, whole(sets[-1]))} if expected * np.prod(shares) <= linkage.MANY else set())
+
+
+def test_blocking_sets_of_many_rows_are_those_of_each():
+    r = random.Random(5)
+    rows = [([r.getrandbits(64) for _ in range(5)], sorted(r.choice((1e-6, 1e-4, 0.003, 0.05, 0.6)) for _ in range(5)), r.getrandbits(64), r.choice((5.0, 700.0, 2e5, 1e7)), r.choice((0.02, 0.3)), r.choice((1, 2))) for _ in range(400)]
+    got = [set() for _ in rows]
+    for first, at, whole in linkage.selective_sets(*(np.array(x, np.uint64 if k in (0, 2) else float) for k, x in enumerate(zip(*rows)))):
+        for i, w in zip(at.tolist(), whole.tolist()):
+            assert (first, w) not in got[i]
+            got[i].add((first, w))
+    assert got == [_sets_one_by_one(*x) for x in rows]
+
+
+def test_pairs_met_in_bins_are_those_that_share_keys(spark, monkeypatch):
+    schema = "id long, title string, raw string, authors array<string>, year int, doi string, venue string"
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghik") for _ in range(6)) for _ in range(60)]
+    held = [(100 + i, " ".join(r.sample(words, r.choice((0, 1, 2, 6, 9)))), "", [f"{r.choice(words)} A"], r.choice((None, 1990 + i % 4)), "", "") for i in range(150)]
+    cited = [(i, *(h[1:] if r.random() < 0.7 else (None, h[1] + " 1 22", None, None, None, None))) for i, h in enumerate(r.sample(held, 80))]
+    side = lambda rows, k, raw: linkage.records(spark.createDataFrame(rows, schema), k, "id", "title", raw, "authors", "year", "doi", "venue")
+    cited, held = side(cited, "c", "raw"), side(held, "p", None)
+    counts = linkage._word_counts(held)
+    c, p = ({x.id: set(x["keys"]) for x in linkage.blocking_keys(df, counts).collect()} for df in (cited, held))
+    want = {(i, j, len(a & b) + linkage.MEET * (min(len(a), len(b)) < linkage.MEET)) for i, a in c.items() for j, b in p.items() if a & b}
+    for at_once, bins in ((50, 7), (1 << 21, 1)):
+        monkeypatch.setattr(linkage, "AT_ONCE", at_once)
+        both = pa.concat_tables([linkage.binned_keys(cited, counts, True, bins).toArrow(), linkage.binned_keys(held, counts, False, bins).toArrow()])
+        got = {}
+        for b in set(both["bin"].to_pylist()):
+            for x in linkage.met_in_bin(both.filter(pc.equal(both["bin"], b))).to_pylist():
+                got.setdefault((x["c"], x["p"]), []).append(x["n"])
+        few = {(i, j) for i, j, _ in want if min(len(c[i]), len(p[j])) < linkage.MEET}
+        assert {k: sum(n) for k, n in got.items() if k not in few} == {(i, j): n for i, j, n in want if (i, j) not in few}
+        assert few <= got.keys() and all(sum(got[k]) >= linkage.MEET for k in few) and want
+
+
+def test_linkage_leaves_no_shuffle_files_and_explodes_no_keys(spark, monkeypatch):
+    schema = "id long, title string, raw string, authors array<string>, year int, doi string, venue string"
+    side = lambda k: linkage.records(spark.createDataFrame([(i, f"Quiet lakes under heavy snowfall {i}", "", ["Lee, Ann"], 2020, "", "") for i in range(20)], schema), k, "id", "title", "raw", "authors", "year", "doi", "venue")
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    plans, left = [], []
+
+    def cut(df, real=linkage.cut):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        before, result, end = files(), real(df), time.time() + 10
+        while files() - before and time.time() < end:
+            time.sleep(0.2)
+        left.append(files() - before)
+        return result
+
+    monkeypatch.setattr(linkage, "cut", cut)
+    assert linkage.link(side("c"), side("p")).count() >= 20
+    assert len(plans) == 4 and left == [set()] * 4 and not any("Generate" in p for p in plans)
